@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, secret_scan, substring_dedup, suffix_dedup, token_counts, warc
+from . import jaccard_join, media, packing, secret_scan, substring_dedup, suffix_dedup, token_counts, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents"), n=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -40,7 +44,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_secret_scan, op4_packing, op5_warc, op7_suffix_dedup, op8_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_media_columns, op2_secret_scan, op3_jaccard_join, op4_packing, op5_warc, op7_suffix_dedup, op8_token_counts, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
