@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from .common import scratch, slices, texts
-from .token_words import ChunkEncoder, tokenizer_version
+from .token_words import shared_encoder, tokenizer_version
 
 CACHE = "digest binary, n_bytes long, n_tokens long, version string"
 
@@ -41,10 +41,10 @@ def count_texts(rows: DataFrame, tokenizer: str) -> DataFrame:
     """digest, n_bytes and n_tokens of rows with digest, n_bytes and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         for whole in batches:
             for b in slices(whole, "text"):
-                counts = [len(x) for x in encoder.ids(texts(b.column("text")))]
+                counts = encoder.counts(texts(b.column("text")))
                 yield pa.RecordBatch.from_arrays([b.column("digest"), b.column("n_bytes"), pa.array(counts, pa.int64())], ["digest", "n_bytes", "n_tokens"])
 
     return rows.select("digest", "n_bytes", "text").mapInArrow(run, "digest binary, n_bytes long, n_tokens long")

@@ -11,13 +11,19 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterable
+import sys
+import types
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 
-_GAP = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_SPACE = re.compile(r"[ \n]+")
+# letters that a mark follows are a chunk: no tokenizer of these families joins the two
+_WORD, _MARK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
+# a space or line end that one word follows goes with it; longer white space stays with the text before or after it
+_GAP = re.compile(rf"[ \n]?[{_WORD}]++(?=[{_MARK}])|" + r"[ \n]?\S+(?:(?:\s{2,}|[^\S \n])\S*)*|\s+\S*(?:(?:\s{2,}|[^\S \n])\S*)*")
+_SPACE = re.compile(rf"[{_WORD}]++(?=[{_MARK}])|[^ \n]+")
 
 
 def chunk_rule(path: str) -> str | None:
@@ -61,26 +67,56 @@ def library_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     return lambda texts: pieces.encode(texts, num_threads=1)
 
 
+def process_store() -> dict:
+    """A dictionary that lives as long as this Python worker, which Spark reuses for later tasks."""
+    return sys.modules.setdefault("_rowmill_process", types.ModuleType("_rowmill_process")).__dict__
+
+
+def shared_encoder(path: str) -> ChunkEncoder:
+    """This worker's encoder for a tokenizer."""
+    store = process_store()
+    if store.get("encoder_path") != path:
+        store["encoder_path"], store["encoder"] = path, ChunkEncoder(path)
+    return store["encoder"]
+
+
 class ChunkEncoder:
-    """Ids of texts. Up to `capacity` chunks of at most `longest` characters stay in memory; when they are full, new ones are encoded and not kept."""
+    """Ids of texts. Chunks that are met a second time stay in memory, up to `capacity` of them, of at most `longest` characters."""
 
-    def __init__(self, path: str, capacity: int = 300_000, longest: int = 48):
-        self.rule, self.encode, self.capacity, self.longest = chunk_rule(path), library_encoder(path), capacity, longest
+    def __init__(self, path: str, capacity: int = 350_000, longest: int = 48):
+        self.rule, self.encode = chunk_rule(path), library_encoder(path)
+        self.capacity, self.longest = capacity, longest
         self.cache: dict[str, bytes] = {}
+        self.met = bytearray(1 << 22)
 
     def chunks(self, text: str) -> list[str]:
-        return _GAP.split(text) if self.rule == "gap" else _SPACE.split(text) if self.rule == "space" else [text]
+        return _GAP.findall(text) if self.rule == "gap" else _SPACE.findall(text) if self.rule == "space" else [text]
 
-    def ids(self, texts: Iterable[str]) -> list[np.ndarray]:
-        """An array of uint32 ids for each text."""
+    def raw(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Each text's ids, four bytes each."""
         cut = [self.chunks(t) for t in texts]
-        cache, extra = self.cache, {}
-        unseen = list({c for chunks in cut for c in chunks if c not in cache})
-        for at in range(0, len(unseen), 4096):
-            part = unseen[at : at + 4096]
-            for c, ids in zip(part, self.encode(part), strict=True):
-                (cache if len(cache) < self.capacity and len(c) <= self.longest else extra)[c] = np.array(ids, np.uint32).tobytes()
-        if extra:
-            get = lambda c: cache.get(c) if c in cache else extra[c]
-            return [np.frombuffer(b"".join(map(get, chunks)), np.uint32) for chunks in cut]
-        return [np.frombuffer(b"".join(map(cache.__getitem__, chunks)), np.uint32) for chunks in cut]
+        known = self.cache.get
+        parts = [list(map(known, chunks)) for chunks in cut]
+        holes = [[i for i, p in enumerate(x) if p is None] for x in parts]
+        unseen = list({chunks[i] for chunks, at in zip(cut, holes, strict=True) for i in at})
+        extra: dict[str, bytes] = {}
+        for at in range(0, len(unseen), 1 << 13):
+            some = unseen[at : at + (1 << 13)]
+            extra |= zip(some, (array("I", x).tobytes() for x in self.encode(some)), strict=True)
+        for c, ids in extra.items():
+            if len(self.cache) >= self.capacity:
+                break
+            if self.met[h := hash(c) & 0x3FFFFF] and len(c) <= self.longest:
+                self.cache[c] = ids
+            self.met[h] = 1
+        for chunks, have, at in zip(cut, parts, holes, strict=True):
+            for i in at:
+                have[i] = extra[chunks[i]]
+            yield b"".join(have)
+
+    def ids(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """An array of uint32 ids for each text."""
+        return (np.frombuffer(x, np.uint32) for x in self.raw(texts))
+
+    def counts(self, texts: Iterable[str]) -> list[int]:
+        return [len(x) // 4 for x in self.raw(texts)]
