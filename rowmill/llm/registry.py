@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, media, packing, secret_scan, substring_dedup, suffix_dedup, token_counts, warc
+from . import decontamination, jaccard_join, media, packing, secret_scan, substring_dedup, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
@@ -39,12 +43,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_columns, op2_secret_scan, op3_jaccard_join, op4_packing, op5_warc, op7_suffix_dedup, op8_token_counts, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_media_columns, op2_secret_scan, op3_jaccard_join, op4_packing, op5_warc, op6_toxicity, op7_suffix_dedup, op8_token_counts, op9_decontamination, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
