@@ -9,7 +9,8 @@ queue runs out, the shares of the others are scaled up, and a new phase begins.
 
 Documents are encoded once, into a shared table with their place in the task's part of the queue; only the
 totals of (queue, task) are summed up, and only the totals of queues go to the driver: at most `max_queues` numbers,
-as more sources than that share queues by hash.
+as more sources than that share queues by hash. The places where tasks' parts of queues begin are broadcast if they
+are counted to be at most `broadcast_rows`, and joined by a shuffle otherwise.
 
 Defined results: a null text is empty and yields the end token alone; a null source is a queue of its own; repeated rows are
 packed once each; null ids pass through; an empty table gives no pieces; very long documents are cut; other columns are not carried.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, texts, written
-from .token_words import ChunkEncoder
+from .token_words import shared_encoder
 
 ENCODED = "doc_id long, queue string, part int, place long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"
@@ -107,7 +108,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
         queue = F.concat(F.lit("#"), F.pmod(F.xxhash64(queue), F.lit(queues)).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, filled = ChunkEncoder(tokenizer), TaskContext.get().partitionId(), {}
+        encoder, part, filled = shared_encoder(tokenizer), TaskContext.get().partitionId(), {}
         for whole in batches:
             for b in slices(whole, "text"):
                 names, place, sizes, ids = b.column("queue").to_pylist(), [], [], []
@@ -122,17 +123,20 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), queue.alias("queue"), F.col(text_col).alias("text")).mapInArrow(run, ENCODED)
 
 
-def pack(docs: DataFrame, tokenizer: str, sequence: int = 2048, end_id: int = 1, window_sequences: int = 32, weights: dict[str, float] | None = None, max_queues: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, sequence: int = 2048, end_id: int = 1, window_sequences: int = 32, weights: dict[str, float] | None = None, max_queues: int = 4096, broadcast_rows: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row for each piece: its document, where it starts there, its length and checksum, and its sequence and offset."""
     many = docs.select(source_col).distinct().limit(max_queues + 1).count() > max_queues
     if many and weights:
         raise ValueError("target shares need at most max_queues sources")
     rows = written(encode(docs, tokenizer, end_id, id_col, text_col, source_col, max_queues if many else None), "encoded")
-    parts = rows.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("tokens"))
+    parts = written(rows.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("tokens")), "parts")
     before = parts.select("queue", F.col("part").alias("of_part"), (F.sum("tokens").over(Window.partitionBy("queue").orderBy("part")) - F.col("tokens")).alias("before"))
     totals = {r.queue: r.tokens for r in parts.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}  # at most max_queues rows
     mixture = Mixture(totals, sequence * window_sequences, weights)
-    placed = rows.join(before.withColumnRenamed("queue", "of_queue"), (F.col("queue") == F.col("of_queue")) & (F.col("part") == F.col("of_part")))
+    before = before.withColumnRenamed("queue", "of_queue")
+    if before.count() <= broadcast_rows:
+        before = F.broadcast(before)
+    placed = rows.join(before, (F.col("queue") == F.col("of_queue")) & (F.col("part") == F.col("of_part")))
     placed = placed.select("doc_id", "queue", (F.col("place") + F.col("before")).alias("first"), "doc_tokens", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

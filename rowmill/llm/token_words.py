@@ -83,14 +83,17 @@ def shared_encoder(path: str) -> ChunkEncoder:
 class ChunkEncoder:
     """Ids of texts. Chunks that are met a second time stay in memory, up to `capacity` of them, of at most `longest` characters."""
 
-    def __init__(self, path: str, capacity: int = 350_000, longest: int = 48):
+    def __init__(self, path: str, capacity: int = 500_000, longest: int = 48):
         self.rule, self.encode = chunk_rule(path), library_encoder(path)
         self.capacity, self.longest = capacity, longest
         self.cache: dict[str, bytes] = {}
         self.met = bytearray(1 << 22)
 
     def chunks(self, text: str) -> list[str]:
-        return _GAP.findall(text) if self.rule == "gap" else _SPACE.findall(text) if self.rule == "space" else [text]
+        if self.rule == "space":
+            # such a tokenizer drops case; special tokens, which it looks for before, do not
+            return _SPACE.findall(text if "<|" in text else text.encode().lower().decode())
+        return _GAP.findall(text) if self.rule == "gap" else [text]
 
     def raw(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Each text's ids, four bytes each."""
