@@ -1,10 +1,10 @@
 """Toxicity scores learnt from positive and unlabelled texts, with a non-negative risk estimator.
 
-Features are the distinct 5-grams of a text's lower-cased bytes, hashed to DIM cells and weighted by how much
+Features are the distinct 6-grams of a text's lower-cased bytes, hashed to DIM cells and weighted by how much
 likelier they are in positive than in other texts, where the other texts' rates are the unlabelled ones less the positives'
-share at the class prior. Each classifier is linear and minimises pi * R+(positive) + max(0, R-(unlabelled) - pi * R-(positive)) by Adam:
+share at the class prior; those whose rates differ by chance weigh nothing. Each classifier is linear and minimises pi * R+(positive) + max(0, R-(unlabelled) - pi * R-(positive)) by Adam:
 where the corrected risk of the negatives falls below zero, the step goes back up it. Weights are averaged over the second
-half of the steps, and a logistic curve fitted to labelled rows that no classifier has seen turns them into probabilities.
+half of the steps, and a logistic curve fitted to labelled rows that it has not seen turns them into probabilities.
 The score is the mean over the classifiers, each trained in a task of its own.
 
 Training takes bounded samples: `positives` and `unlabelled` texts for each classifier and `calibration` labelled rows, of at most
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import flat_bytes, prefix_hash, slices, span_hash
 
-DIM_BITS, GRAM = 18, 5
+DIM_BITS, GRAM = 19, 6
 DIM = 1 << DIM_BITS
 POSITIVE, UNLABELLED, CALIBRATION = 0, 1, 2
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -35,7 +35,7 @@ _LOWER[65:91] += 32
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct cells of each text's byte 5-grams, one text after another, and the texts' offsets. Every text also has cell 0."""
+    """The distinct cells of each text's byte 6-grams, one text after another, and the texts' offsets. Every text also has cell 0."""
     data, offsets = flat_bytes(column)
     n = len(offsets) - 1
     prefix, doc = prefix_hash(_LOWER[data]), np.repeat(np.arange(n), np.diff(offsets))
@@ -59,19 +59,39 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(cells: np.ndarray, offsets: np.ndarray, role: np.ndarray, prior: float, steps: int = 120, rate: float = 0.03, smooth: float = 8) -> tuple[np.ndarray, float]:
+def all_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """features() of many texts, a slice at a time: cells, and how many each text has."""
+    cells, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for b in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text", 1 << 20):
+        found, offsets = features(b.column("text"))
+        cells.append(found.astype(np.int32))
+        sizes.append(np.diff(offsets))
+    return np.concatenate(cells), np.concatenate(sizes)
+
+
+def ratios(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float, smooth: float = 8, least: float = 6, few: int = 64) -> np.ndarray:
+    """Log ratio of each cell's rates in positive and in other texts; 0 where they differ by less than `least` standard errors, but for the `few` that differ most."""
+    others = np.maximum(in_u - prior * in_p, 0) / (1 - prior)
+    spread = np.sqrt((others + in_p * n_p / n_u + 0.5 / n_u) * (1 - np.minimum(others, 0.99)) / n_p + 1e-12)
+    z = np.abs(in_p - others) / spread
+    z[0] = 0
+    bound = min(least, np.sort(z)[-few])
+    return np.where((z >= bound) & (z > 0), np.log((1000 * in_p + smooth) / (1000 * others + smooth)), 0)
+
+
+def train(cells: np.ndarray, sizes: np.ndarray, role: np.ndarray, prior: float, steps: int = 60, rate: float = 0.03) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk; role is POSITIVE or UNLABELLED for each text."""
-    sizes = np.diff(offsets)
-    row, p = np.repeat(np.arange(len(sizes)), sizes), role == POSITIVE
+    row, p = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), role == POSITIVE
     n_p, n_u = int(p.sum()), int((~p).sum())
     in_p = np.bincount(cells[p[row]], minlength=DIM) / n_p
     in_u = np.bincount(cells[~p[row]], minlength=DIM) / n_u
-    others = np.maximum(in_u - prior * in_p, 0) / (1 - prior)
-    ratio = np.log((1000 * in_p + smooth) / (1000 * others + smooth))
+    ratio = ratios(in_p, in_u, n_p, n_u, prior)
+    live = ratio[cells] != 0
+    cells, row = cells[live], row[live]
     w, mean, var, total, kept = np.ones(DIM), np.zeros(DIM), np.zeros(DIM), np.zeros(DIM), 0
     bias, bias_total, scale = np.log(prior / (1 - prior)), 0.0, 1 / np.sqrt(sizes)
     for t in range(1, steps + 1):
-        z = forward(cells, offsets, w * ratio) + bias
+        z = np.bincount(row, weights=(w * ratio)[cells], minlength=len(sizes)) * scale + bias
         s = sigmoid(z)
         # of the logistic loss: as negatives, less the share of the positives
         loss = np.logaddexp(0, z)
@@ -112,11 +132,14 @@ def classifiers(docs: DataFrame, labels: DataFrame, models: int, positives: int,
         return [], prior
     rows = docs.filter(F.length(text_col) <= longest).select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.col("key").isNotNull())
     pick = lambda df, m, role, n: df.orderBy(F.xxhash64("key", F.lit(m * 3 + role)), "key").limit(n).select("key", F.lit(role).alias("role"), F.lit(m).alias("model"), "toxic")
-    ids = rows.filter(fold("key").isin(0, 3)).select("key", F.lit(None).cast("int").alias("toxic"))
+    ids = rows.select("key", F.lit(None).cast("int").alias("toxic"))
     known = learn.select("key", F.col("toxic").cast("int").alias("toxic"))
     chosen = None
     for m in range(models):
-        for part in (pick(known.filter("toxic = 1").filter(fold("key").isin(0, 3)), m, POSITIVE, positives), pick(ids, m, UNLABELLED, unlabelled), pick(known.filter(fold("key") == 1), m, CALIBRATION, calibration)):
+        # each learns from two of the folds that may be learnt from, and its curve is fitted to the third
+        third = (0, 1, 3)[m % 3]
+        own = [f for f in (0, 1, 3) if f != third]
+        for part in (pick(known.filter("toxic = 1").filter(fold("key").isin(own)), m, POSITIVE, positives), pick(ids.filter(fold("key").isin(own)), m, UNLABELLED, unlabelled), pick(known.filter(fold("key") == third), m, CALIBRATION, calibration)):
             chosen = part if chosen is None else chosen.union(part)
     # at most models * (positives + unlabelled + calibration) rows
     sample = rows.join(F.broadcast(chosen.withColumnRenamed("key", "chosen")), F.col("key") == F.col("chosen")).select("model", "role", "toxic", "text")
@@ -125,7 +148,7 @@ def classifiers(docs: DataFrame, labels: DataFrame, models: int, positives: int,
         group = group.combine_chunks().to_batches()[0] if group.num_rows else None
         schema = pa.schema([("model", pa.int32()), ("weights", pa.binary()), ("bias", pa.float64())])
         role = group.column("role").to_numpy()
-        use = lambda keep: features(group.column("text").filter(pa.array(keep)))
+        use = lambda keep: all_features(group.column("text").filter(pa.array(keep)))
         fitted, held = role != CALIBRATION, role == CALIBRATION
         if not ((role == POSITIVE).any() and (role == UNLABELLED).any()):
             return schema.empty_table()
@@ -133,14 +156,15 @@ def classifiers(docs: DataFrame, labels: DataFrame, models: int, positives: int,
         a, b = 1.0, 0.0
         y = group.column("toxic").to_numpy(zero_copy_only=False)[held].astype(float)
         if len(set(y)) == 2:
-            a, b = calibrate(forward(*use(held), w) + bias, y, prior)
+            cells, sizes = use(held)
+            a, b = calibrate(forward(cells, np.append(0, np.cumsum(sizes)), w) + bias, y, prior)
         return pa.Table.from_arrays([pa.array([group.column("model")[0].as_py()], pa.int32()), pa.array([(a * w).astype(np.float32).tobytes()], pa.binary()), pa.array([a * bias + b])], schema=schema)
 
-    fitted = sample.groupBy("model").applyInArrow(fit, "model int, weights binary, bias double").orderBy("model").collect()  # `models` rows of a fixed size
-    return [(np.frombuffer(r.weights, np.float32), r.bias) for r in fitted], prior
+    fitted = sample.groupBy("model").applyInArrow(fit, "model int, weights binary, bias double").collect()  # `models` rows of a fixed size
+    return [(np.frombuffer(r.weights, np.float32), r.bias) for r in sorted(fitted, key=lambda r: r.model)], prior
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, models: int = 4, positives: int = 2000, unlabelled: int = 5000, calibration: int = 3000, longest: int = 200_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, models: int = 6, positives: int = 2000, unlabelled: int = 5000, calibration: int = 3000, longest: int = 200_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of each row."""
     scorer = score_batches(docs, labels, models, positives, unlabelled, calibration, longest, id_col, text_col)
 
@@ -168,7 +192,7 @@ def score_batches(docs, labels, models, positives, unlabelled, calibration, long
     return scored
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, models: int = 4, positives: int = 2000, unlabelled: int = 5000, calibration: int = 3000, longest: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, models: int = 6, positives: int = 2000, unlabelled: int = 5000, calibration: int = 3000, longest: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns kept, whose text scores less than the threshold."""
     scorer = score_batches(docs, labels, models, positives, unlabelled, calibration, longest, id_col, text_col)
 
