@@ -10,7 +10,8 @@ Heavy sets: in a common order of n-grams, rare ones first, similar sets share on
 n - ceil(percent * n / 100) + 1 n-grams; those prefixes are the inverted lists, and lists of one set fall away at once. Lists are scanned
 with parity bitmaps: the bits in which two bitmaps differ are at most the n-grams in which the sets differ, so pairs beyond
 the limit are out, and none is lost. What is left is joined to coarse groups, whose members' sets are fetched once and
-compared exactly. Lists or groups of more than `block` members are dealt out as pairs of blocks.
+compared exactly. Lists of more than `block` members, and groups of more than that or of more than 4096 * `block`
+n-grams, are dealt out as pairs of blocks.
 
 The boundary is the size up to which subsets cost less (`boundary`); sets near it take both ways. How often n-grams
 occur is counted over all documents in a table of fixed size, which only decides the order, never a result.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, flat_bytes, mix, prefix_hash, seeded, slices, span_hash, word_spans, written
+from .common import SPACES, flat_bytes, mix, prefix_hash, seeded, slices, small_batches, span_hash, word_spans, written
 from .components import components, labels
 from .repeats import identified
 
@@ -86,10 +87,10 @@ def bitmaps(grams: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(parity.reshape(n, BITS), axis=1)
 
 
-def summaries(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document: its set's size, digests and bitmap; and, with null ids, each task's part of the table of counts."""
-    schema = "id long, size long, d1 long, d2 long, bitmap binary, cell int, counts binary"
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+def summaries(docs: DataFrame, n: int, most: int) -> DataFrame:
+    """A row for each document: its set's size, digests and bitmap, and the set itself if it has at most `most` n-grams; and, with null ids, each task's part of the table of counts."""
+    schema = "id long, size long, d1 long, d2 long, bitmap binary, grams binary, cell int, counts binary"
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CELLS, np.int32)
@@ -102,11 +103,12 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
                 d1, d2 = (mix(sums(mix(grams ^ s), offsets) + sizes.astype(np.uint64)).view(np.int64) for s in _SALT)
                 maps = [x.tobytes() for x in bitmaps(grams, offsets)]
                 none = [None] * b.num_rows
-                yield row(b.column("id"), sizes, d1, d2, maps, none, none)
+                few = [grams[x:y].tobytes() if 0 < y - x <= most else None for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield row(b.column("id"), sizes, d1, d2, maps, few, none, none)
         part = 1 << 16
         k = CELLS // part
         if counts.any():
-            yield row(*[[None] * k] * 5, list(range(k)), [counts[i * part : (i + 1) * part].tobytes() for i in range(k)])
+            yield row(*[[None] * k] * 6, list(range(k)), [counts[i * part : (i + 1) * part].tobytes() for i in range(k)])
 
     return docs.select("id", "text").mapInArrow(run, schema)
 
@@ -151,36 +153,31 @@ def prefixes(docs: DataFrame, n: int, percent: int, least: int, classes) -> Data
     return docs.select("id", "text").mapInArrow(run, "token long, d1 long")
 
 
-def subsets(docs: DataFrame, n: int, percent: int, most: int) -> DataFrame:
-    """(subset, common, size, d1) for each subset, of each size that an intersection can have, of sets of at most `most` n-grams."""
+def subsets(sets: DataFrame, percent: int) -> DataFrame:
+    """(subset, common, size, rep) for each subset, of each size that an intersection can have, of the sets (rep, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "text", 1 << 20):
-                grams, offsets = ngram_sets(b.column("text"), n)
-                sizes = np.diff(offsets)
-                d1 = mix(sums(mix(grams ^ _SALT[0]), offsets) + sizes.astype(np.uint64)).view(np.int64)
-                out: list[np.ndarray] = []
-                marks = mix(grams ^ _SALT[1])
-                for i in np.flatnonzero((sizes > 0) & (sizes <= most)):
-                    own, size = marks[offsets[i] : offsets[i + 1]], int(sizes[i])
-                    total = own.sum(dtype=np.uint64)
-                    for k in range(most_missing(size, percent) + 1):
-                        gone = own[np.array(list(combinations(range(size), k)), np.int64).reshape(-1, k)].sum(axis=1, dtype=np.uint64) if k else np.zeros(1, np.uint64)
-                        m = len(gone)
-                        out.append(np.stack([mix(total - gone).view(np.int64), np.full(m, size - k), np.full(m, size), np.full(m, d1[i])]))
-                cells = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["subset", "common", "size", "d1"])
+        for b in batches:
+            out: list[np.ndarray] = []
+            for rep, raw in zip(b.column("rep").to_pylist(), b.column("grams").to_pylist(), strict=True):
+                own = mix(np.frombuffer(raw, np.uint64) ^ _SALT[1])
+                size, total = len(own), own.sum(dtype=np.uint64)
+                for k in range(most_missing(size, percent) + 1):
+                    gone = own[np.array(list(combinations(range(size), k)), np.int64).reshape(-1, k)].sum(axis=1, dtype=np.uint64) if k else np.zeros(1, np.uint64)
+                    m = len(gone)
+                    out.append(np.stack([mix(total - gone).view(np.int64), np.full(m, size - k), np.full(m, size), np.full(m, rep)]))
+            cells = np.concatenate(out, axis=1) if out else np.zeros((4, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["subset", "common", "size", "rep"])
 
-    return docs.select("id", "text").mapInArrow(run, "subset long, common long, size long, d1 long")
+    return sets.select("rep", "grams").mapInArrow(run, "subset long, common long, size long, rep long")
 
 
-def blocks(members: DataFrame, key: str, member: str, count: str, block: int) -> DataFrame:
-    """members with `pair`: a group of more than `block` members is dealt to pairs of blocks, so that any two members meet in one."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col(count) / block)).cast("int")
-    own = F.pmod(F.xxhash64(member), parts).cast("int")
-    others = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.least(i, own) * parts + F.greatest(i, own))
-    return members.withColumn("pair", F.explode(F.when(parts > 1, others).otherwise(F.array(F.lit(0)))))
+def blocks(members: DataFrame, member: str, parts: str) -> DataFrame:
+    """members with `pair`: a group of `parts` blocks is dealt to pairs of blocks, so that any two members meet in one."""
+    n = F.greatest(F.lit(1), F.ceil(F.expr(parts)).cast("int"))
+    own = F.pmod(F.xxhash64(member), n).cast("int")
+    others = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.least(i, own) * n + F.greatest(i, own))
+    return members.withColumn("pair", F.explode(F.when(n > 1, others).otherwise(F.array(F.lit(0)))))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int = 1 << 15) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -216,62 +213,76 @@ def scan_lists(entries: DataFrame, percent: int) -> DataFrame:
         for b, group in whole_groups(batches, ("token", "pair")):
             rep, size = (b.column(c).to_numpy() for c in ("rep", "size"))
             maps = np.frombuffer(flat_bytes(b.column("bitmap"))[0].tobytes(), np.uint64).reshape(-1, BITS // 64)
-            left, right, lag = [], [], 1
-            at = np.arange(len(rep) - 1)
+            nodes, place = np.unique(rep, return_inverse=True)
+            low, lag, at = np.arange(len(nodes)), 1, np.arange(len(rep))
+            waiting: list[np.ndarray] = []
             while len(at := at[at + lag < len(rep)]):
                 at = at[group[at] == group[at + lag]]
                 x, y = size[at], size[at + lag]
-                near = at[(100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (rep[at] != rep[at + lag])]
+                near = at[(100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (low[place[at]] != low[place[at + lag]])]
                 x, y = size[near], size[near + lag]
                 # the union is at most (x + y) * 100 / (100 + percent), and what differs (100 - percent) hundredths of it
                 apart = np.bitwise_count(maps[near] ^ maps[near + lag]).sum(axis=1, dtype=np.int64)
                 near = near[apart * (100 + percent) <= (100 - percent) * (x + y)]
-                left.append(near)
-                right.append(near + lag)
+                waiting.append(np.stack([place[near], place[near + lag]]))
                 lag += 1
-            a = np.concatenate(left) if left else np.zeros(0, np.int64)
-            z = np.concatenate(right) if right else a
-            nodes, place = np.unique(rep, return_inverse=True)
-            low = labels(len(nodes), place[a], place[z])
+                # pairs that are connected already need not be looked at
+                if sum(w.shape[1] for w in waiting) > 1 << 12:
+                    low = labels(len(nodes), *low[np.concatenate(waiting, axis=1)])[low]
+                    waiting = []
+            if waiting:
+                low = labels(len(nodes), *low[np.concatenate(waiting, axis=1)])[low]
             out = np.flatnonzero(low != np.arange(len(nodes)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[low[out]])], ["a", "b"])
 
     return entries.select("token", "pair", "rep", "size", "bitmap").repartition("token", "pair").sortWithinPartitions("token", "pair", "size").mapInArrow(run, "a long, b long")
 
 
+def group_links(rep: list[int], sets: list[np.ndarray], percent: int, chunk: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(member, smallest member) of each connected part of a group of sorted sets. Sets that are connected already are not compared; of others, a table of truncated hashes bounds the intersection from above before it is taken."""
+    order = sorted(range(len(rep)), key=rep.__getitem__)
+    rep, sets = [rep[i] for i in order], [sets[i] for i in order]
+    size, low = np.array([len(x) for x in sets]), np.arange(len(rep))
+    table = np.zeros(1 << 22, np.uint8)
+    for i in range(len(rep) - 1):
+        later = np.flatnonzero(low[i + 1 :] != low[i]) + i + 1
+        later = later[100 * np.minimum(size[later], size[i]) >= percent * np.maximum(size[later], size[i])]
+        if not len(later):
+            continue
+        table[(sets[i] >> np.uint64(42)).astype(np.int64)] = 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(size[later]) // chunk)) + 1
+        for js in np.split(later, cuts):
+            ends = np.cumsum(size[js])
+            most = np.add.reduceat(table[(np.concatenate([sets[j] for j in js]) >> np.uint64(42)).astype(np.int64)], ends - size[js], dtype=np.int64)
+            for j in js[100 * most >= percent * (size[i] + size[js] - most)]:
+                if low[i] != low[j]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (size[i] + size[j] - both):
+                        a, z = sorted((low[i], low[j]))
+                        low[low == z] = a
+        table[(sets[i] >> np.uint64(42)).astype(np.int64)] = 0
+    return ((rep[i], rep[x]) for i, x in enumerate(low.tolist()) if i != x)
+
+
 def exact_links(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between members (grp, pair, rep, grams) of a group whose sets are similar, a star for each connected part of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, group in whole_groups(batches, ("grp", "pair"), 1 << 10):
-            rep = b.column("rep").to_numpy()
-            data, offsets = flat_bytes(b.column("grams"))
-            grams, offsets = np.frombuffer(data.tobytes(), np.uint64), offsets // 8
-            sizes, out = np.diff(offsets), []
-            cuts = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
-            start = 0
-            for stop in cuts:
-                own = offsets[start : stop + 1] - offsets[start]
-                vocabulary, place = np.unique(grams[offsets[start] : offsets[stop]], return_inverse=True)
-                have, size = np.zeros(len(vocabulary), np.int32), sizes[start:stop]
-                a, z = [], []
-                for i in range(stop - start - 1):
-                    mine = place[own[i] : own[i + 1]]
-                    have[mine] = 1
-                    both = np.add.reduceat(have[place[own[i + 1] :]], own[i + 1 : -1] - own[i + 1])
-                    have[mine] = 0
-                    hit = np.flatnonzero(100 * both.astype(np.int64) >= percent * (size[i] + size[i + 1 :] - both)) + i + 1
-                    a.append(np.full(len(hit), i))
-                    z.append(hit)
-                if a:
-                    low = labels(stop - start, np.concatenate(a), np.concatenate(z))
-                    x = np.flatnonzero(low != np.arange(len(low)))
-                    out.append(np.stack([rep[start + x], rep[start + low[x]]]))
-                start = stop
-            ends = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
-
-    return members.repartition("grp", "pair").sortWithinPartitions("grp", "pair", "rep").mapInArrow(run, "a long, b long")
+        out: list[tuple[int, int]] = []
+        rep: list[int] = []
+        sets: list[np.ndarray] = []
+        now = None
+        for b in batches:
+            for key, x, raw in zip(zip(b.column("grp").to_pylist(), b.column("pair").to_pylist(), strict=True), b.column("rep").to_pylist(), b.column("grams"), strict=True):
+                if key != now:
+                    out += group_links(rep, sets, percent)
+                    now, rep, sets = key, [], []
+                rep.append(x)
+                sets.append(np.frombuffer(raw.as_py(), np.uint64))
+        out += group_links(rep, sets, percent)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+
+    return members.repartition("grp", "pair").sortWithinPartitions("grp", "pair").mapInArrow(run, "a long, b long")
 
 
 def with_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -291,37 +302,59 @@ def with_sets(rows: DataFrame, n: int) -> DataFrame:
 
 
 def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles (its set's size), component_id (the smallest doc_id that links reach) and id, a number of the row.
+    """doc_id, n_shingles (its set's size) and component_id (the smallest doc_id that links reach) of each row.
 
     Defined results: null, empty and blank texts have no set and link with nothing; a text of fewer than n words is one n-gram;
     rows with equal or null ids are documents of their own; other columns are not carried."""
-    spark = docs.sparkSession
     texts = identified(docs, id_col, text_col)
     ids = texts.select("id", "doc_id")
-    rows = written(summaries(texts, n), "summaries")
-    classes = spark.sparkContext.broadcast(rarity(rows))
-    sets = rows.filter("id is not null").drop("cell", "counts")
-    reps = written(sets.filter("size > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")), "sets")
+    named = group_rows(texts, n, percent, block).join(ids.select(F.col("id").alias("top"), F.col("doc_id").alias("component_id")), "top")
+    return named.join(ids, "id").select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns kept, without those that similar sets link to a row with a smaller id.
+
+    Of rows with equal ids, or without one, each is a document of its own; all rows without words stay."""
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if plain.groupBy("id").count().filter("count > 1 or id is null").limit(1).count():
+        # numbers in the order of ids tell such rows apart
+        last = F.col(id_col).asc_nulls_last()
+        docs = written(docs.repartitionByRange(last).sortWithinPartitions(last).withColumn("_row", F.monotonically_increasing_id()), "identified")
+        plain = docs.select(F.col("_row").alias("id"), F.col(text_col).alias("text"))
+    else:
+        docs = docs.withColumn("_row", F.col(id_col).cast("long"))
+    rows = group_rows(plain, n, percent, block)
+    return docs.join(rows.filter("top < id").select(F.col("id").alias("_gone")), F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
+
+def group_rows(texts: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """id, n_shingles and top (the smallest id that links reach) of texts (id, text) with unique ids."""
+    spark = small_batches(texts.sparkSession)
     light = boundary(percent)
     # sets of up to the largest size similar to a light one take the light way, sets of the smallest similar size or more the heavy one
     most, least = 100 * light // percent, -(-percent * (light + 1) // 100)
-    parts = subsets(texts, n, percent, most).join(reps.select("d1", "rep"), "d1")
+    rows = written(summaries(texts, n, most), "summaries")
+    classes = spark.sparkContext.broadcast(rarity(rows))
+    sets = rows.filter("id is not null").drop("cell", "counts")
+    reps = written(sets.filter("size > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap"), F.first("grams").alias("grams")), "sets")
+
+    parts = written(subsets(reps.filter("grams is not null"), percent), "subsets")
     smallest = parts.groupBy("subset", "common").agg(F.min(F.struct("size", "rep")).alias("low"), F.max("rep").alias("high"), F.min("rep").alias("one")).filter("high != one").drop("high", "one")
     linked = parts.join(smallest, ["subset", "common"]).filter(f"rep != low.rep and {percent} * (size + low.size - common) <= 100 * common").select(F.col("rep").alias("a"), F.col("low.rep").alias("b"))
 
-    entries = prefixes(texts, n, percent, least, classes)
-    shared = entries.groupBy("token").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).filter("x != y").select(F.col("token").alias("live"))
+    entries = written(prefixes(texts, n, percent, least, classes), "prefixes")
+    shared = written(entries.groupBy("token").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).filter("x != y").select(F.col("token").alias("live")), "tokens")
     live = written(entries.join(shared, F.col("token") == F.col("live"), "left_semi").distinct(), "entries")
     counts = live.groupBy(F.col("token").alias("counted")).agg(F.count(F.lit(1)).alias("members"))
-    lists = live.join(reps, "d1").join(counts, F.col("token") == F.col("counted"))
-    near = components(scan_lists(blocks(lists, "token", "rep", "members", block), percent), "near")
-
-    groups = near.join(near.groupBy(F.col("component").alias("counted")).agg(F.count(F.lit(1)).alias("members")), F.col("component") == F.col("counted"))
-    members = with_sets(texts.select("id", "text").join(groups, F.col("id") == F.col("node")).select(F.col("id").alias("rep"), F.col("component").alias("grp"), "members", "text"), n)
-    links = exact_links(blocks(members, "grp", "rep", "members", block), percent)
+    lists = live.join(reps.drop("grams"), "d1").join(counts, F.col("token") == F.col("counted"))
+    near = components(scan_lists(blocks(lists, "rep", f"members / {block}"), percent), "near")
+
+    sized = near.join(reps.select("rep", "size"), F.col("node") == F.col("rep")).drop("rep")
+    counts = sized.groupBy(F.col("component").alias("counted")).agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("grams"))
+    groups = sized.join(counts, F.col("component") == F.col("counted")).selectExpr("node", "component", f"greatest(members / {block}, grams / {block << 12}) AS parts")
+    members = with_sets(texts.select("id", "text").join(groups, F.col("id") == F.col("node")).select(F.col("id").alias("rep"), F.col("component").alias("grp"), "parts", "text"), n)
+    links = exact_links(blocks(members, "rep", "parts"), percent)
     found = components(links.union(linked), "linked")
 
-    own = sets.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(found, F.col("rep") == F.col("node"), "left").select("id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("top"))
-    named = own.join(ids.select(F.col("id").alias("top"), F.col("doc_id").alias("component_id")), "top")
-    return named.join(ids, "id").select("doc_id", "n_shingles", "component_id", "id", F.col("top"))
+    return sets.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(found, F.col("rep") == F.col("node"), "left").select("id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("top"))
