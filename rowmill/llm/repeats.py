@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import segments
-from .common import SPACES, flat_bytes, prefix_hash, slices, span_hash, word_spans, written
+from .common import SPACES, flat_bytes, prefix_hash, slices, small_batches, span_hash, word_spans, written
 
 SEGMENTS = "id long, lo long, windows int, lead int, anchor long, segment long"
 FETCHED = SEGMENTS + ", copies long, tokens binary"
@@ -145,7 +145,7 @@ def place_rows(group: Group, kind: Kind, repeated: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(group.id[seg[a]]), pa.array(lo), pa.array(hi)], ["id", "lo", "hi"])
 
 
-def compared(fetched: DataFrame, kind: Kind, compare: Compare, bucket_bytes: int = 4 << 20) -> DataFrame:
+def compared(fetched: DataFrame, kind: Kind, compare: Compare, bucket_bytes: int = 5 << 18) -> DataFrame:
     """Places of repeated windows. Tasks get whole groups of equal anchors, in order, and hand them to `compare` a bucket of groups at a time."""
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +212,10 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_places(docs: DataFrame, kind: Kind, compare: Compare) -> DataFrame:
     """docs (id, doc_id, text) with `places`, a list of the (lo, hi) that windows to remove cover, in tokens, or null."""
+    small_batches(docs.sparkSession)
     found = segment_rows(docs, kind)
-    again = found.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("again"))
+    # written, so that the join's sides are shuffles that Spark can split where an anchor is hot
+    again = written(found.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("again")), "again")
     live = written(found.join(again, F.col("anchor") == F.col("again"), "left_semi"), "segments")
     key = ["anchor", "segment"]
     distinct = written(live.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "lo", "windows", "lead")).alias("at")), "distinct")

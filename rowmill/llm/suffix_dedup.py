@@ -29,51 +29,70 @@ COVER = np.unique([*range(ROOT), *(ROOT * q % V for q in range(1, -(-(V - 1) //
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _ranks(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The order of rows by their columns, the first one first, and each row's rank, equal for equal rows."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    for c in columns:
-        new[1:] |= c[order[1:]] != c[order[:-1]]
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new) + 1
+PACKED_BITS = 21
+
+
+def ranks(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs of numbers, and each pair's rank from 1, equal for equal pairs. Up to 2**21 pairs of such numbers are sorted as plain integers, with their places in the low bits."""
+    n = len(high)
+    if n < 1 << PACKED_BITS and high.max(initial=0) < 1 << (62 - PACKED_BITS if low is _NONE else PACKED_BITS) and low.max(initial=0) < 1 << PACKED_BITS:
+        keys = high if low is _NONE else high << PACKED_BITS | low
+        keys = np.sort(keys << PACKED_BITS | np.arange(n))
+        order = keys & ((1 << PACKED_BITS) - 1)
+        keys >>= PACKED_BITS
+        new = keys[1:] != keys[:-1]
+    else:
+        low = np.broadcast_to(low, n) if low is _NONE else low
+        order = np.lexsort((low, high))
+        new = (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.concatenate([np.ones(min(n, 1), np.int64), new]))
     return order, rank
 
 
-def equal_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """A number for each window data[start : start + length], equal for equal windows.
+_NONE = np.zeros(1, np.int64)
 
-    ends: where the window's segment ends. Windows that are equal must have equal starts modulo V."""
+
+def equal_windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A number for each window data[start : start + length], equal for equal windows, which must have equal starts modulo V."""
     n = len(data)
     padded = np.zeros(n + V + 8, np.uint8)
     padded[:n] = data
-    words = np.ndarray((n + V,), ">u8", padded, 0, (1,))
-    head = lambda at: [words[at + 8 * i].astype(np.uint64) for i in range(V // 8)]
+    ahead = lambda rank, by: np.concatenate([rank[by:], np.zeros(min(by, len(rank)), np.int64)])
+
+    # ranks by the first V bytes, doubled from four
+    _, rank = ranks(np.ndarray((n,), ">u4", padded, 0, (1,)).astype(np.int64), _NONE)
+    depth = 4
+    while depth < V:
+        _, rank = ranks(rank, ahead(rank, depth))
+        depth *= 2
+    head = rank[starts]
 
-    # ranks of sample suffixes, up to `length` bytes or more
+    # ranks of sample suffixes, up to `length` bytes or more: their places repeat modulo V, so doubling stays in the sample
     sample = np.flatnonzero(np.isin(np.arange(V), COVER)[np.arange(n) % V])
-    _, rank = _ranks(head(sample))
     index = np.full(n + V, -1, np.int64)
     index[sample] = np.arange(len(sample))
-    depth = V
+    rank = ranks(rank[sample], _NONE)[1]
     while depth < length:
-        ahead = np.minimum(sample + depth, n)
-        follow = np.where(ahead < n, rank[index[ahead]], 0)
-        _, rank = _ranks([rank, follow])
+        follow = index[np.minimum(sample + depth, n)]
+        _, rank = ranks(rank, np.where(follow >= 0, rank[follow], 0))
         depth *= 2
 
     # windows, by their first V bytes, their place modulo V and the rank of the sample suffix that follows
-    step = np.zeros(V, np.int64)
-    for r in range(V):
-        step[r] = min((c - r) % V for c in COVER)
-    follow = rank[index[starts + step[starts % V]]]
-    order, _ = _ranks([*head(starts), starts % V, follow])
+    step = np.array([min((c - r) % V for c in COVER) for r in range(V)])
+    _, head = ranks(head * V + starts % V, _NONE)
+    order, _ = ranks(head, rank[index[starts + step[starts % V]]])
 
     # neighbours are equal if they agree in all bytes
+    words = np.ndarray((n + V,), np.uint64, padded, 0, (1,))
+    open_ = np.flatnonzero(head[order[1:]] == head[order[:-1]])
     a, b = starts[order[:-1]], starts[order[1:]]
-    open_ = np.flatnonzero(a % V == b % V)
-    for at in [*range(0, length - 7, 8), length - 8]:
-        open_ = open_[words[a[open_] + at] == words[b[open_] + at]]
+    if length < 8:
+        for at in range(length):
+            open_ = open_[padded[a[open_] + at] == padded[b[open_] + at]]
+    else:
+        for at in [*range(0, length - 7, 8), length - 8]:
+            open_ = open_[words[a[open_] + at] == words[b[open_] + at]]
     new = np.ones(len(starts), bool)
     new[open_ + 1] = False
     out = np.empty(len(starts), np.int64)
@@ -93,14 +112,14 @@ def layout(group: Group) -> tuple[np.ndarray, np.ndarray]:
     return data, at
 
 
-def suffix_compare(length: int, block: int = 1 << 21):
-    """Marks the windows of a group that occur twice. Blocks of anchors are sorted one at a time."""
+def suffix_compare(length: int):
+    """Marks the windows of a bucket that occur twice."""
 
     def compare(group: Group) -> np.ndarray:
         data, at = layout(group)
         seg, number, _ = group.starts()
         starts = at[seg] + number
-        same = equal_windows(data, starts, (at + np.diff(group.offsets))[seg], length)
+        same = equal_windows(data, starts, length)
         times = np.bincount(same, weights=group.copies[seg])
         return times[same] > 1
 
