@@ -91,12 +91,14 @@ def read_png(media: bytes) -> np.ndarray:
         raise ValueError("no PNG signature")
     at, head, parts, ended = 8, None, [], False
     while at < len(media):
+        if at + 8 > len(media):
+            raise ValueError("a PNG chunk is cut")
         size, kind = struct.unpack_from(">I4s", media, at)
         body = media[at + 8 : at + 8 + size]
-        if len(body) < size or struct.unpack_from(">I", media, at + 8 + size)[0] != zlib.crc32(body, zlib.crc32(kind)):
+        if at + 12 + size > len(media) or struct.unpack_from(">I", media, at + 8 + size)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise ValueError(f"PNG chunk {kind!r} is cut or its CRC is wrong")
         at += 12 + size
-        if kind == b"IHDR":
+        if kind == b"IHDR" and size == 13:
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             parts.append(body)

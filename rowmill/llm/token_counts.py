@@ -60,7 +60,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     known = read_cache(spark, cache, version)
     missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id")).join(known, "digest", "left_anti")
     unseen = keyed.join(missing.withColumnRenamed("digest", "first_digest"), (F.col("digest") == F.col("first_digest")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    count_texts(unseen, tokenizer).withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
+    # repeated rows, with one id and text, are counted in one task, and appended once
+    fresh = count_texts(unseen, tokenizer).groupBy("digest").agg(F.first("n_bytes").alias("n_bytes"), F.first("n_tokens").alias("n_tokens"))
+    fresh.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(cache)
 
     counted = read_cache(spark, cache, version)
     return keyed.drop("text").join(counted, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

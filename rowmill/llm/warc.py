@@ -160,7 +160,7 @@ class WarcReader(DataSourceReader):
                 bins[-1] = (bins[-1][0] + size, [*bins[-1][1], (name, size)])
             else:
                 bins.append((size, [(name, size)]))
-        return [Files(x) for _, x in bins]
+        return [Files(x) for _, x in bins] or [Files([])]
 
     def passes(self, head: dict[str, str]) -> bool:
         for name, how, value in self.wanted:
