@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, media, packing, secret_scan, substring_dedup, suffix_dedup, token_counts, toxicity, warc
+from . import decontamination, jaccard_join, media, oracles, packing, secret_scan, substring_dedup, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_jaccard_join": oracles.OP3, "op5_warc": oracles.OP5, "op7_suffix_dedup": oracles.OP7, "op10_substring_dedup": oracles.OP10}
