@@ -59,14 +59,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def all_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """features() of many texts, a slice at a time: cells, and how many each text has."""
-    cells, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+def feature_slices(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """features() of many texts, a slice at a time, so that memory holds those of one slice."""
+    at = 0
     for b in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text", 1 << 20):
-        found, offsets = features(b.column("text"))
-        cells.append(found.astype(np.int32))
-        sizes.append(np.diff(offsets))
-    return np.concatenate(cells), np.concatenate(sizes)
+        yield slice(at, at + b.num_rows), *features(b.column("text"))
+        at += b.num_rows
 
 
 def ratios(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float, smooth: float = 8, least: float = 6, few: int = 64) -> np.ndarray:
@@ -79,15 +77,23 @@ def ratios(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float,
     return np.where((z >= bound) & (z > 0), np.log((1000 * in_p + smooth) / (1000 * others + smooth)), 0)
 
 
-def train(cells: np.ndarray, sizes: np.ndarray, role: np.ndarray, prior: float, steps: int = 60, rate: float = 0.03) -> tuple[np.ndarray, float]:
+def train(texts: pa.Array, role: np.ndarray, prior: float, steps: int = 60, rate: float = 0.03) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk; role is POSITIVE or UNLABELLED for each text."""
-    row, p = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), role == POSITIVE
+    p = role == POSITIVE
     n_p, n_u = int(p.sum()), int((~p).sum())
-    in_p = np.bincount(cells[p[row]], minlength=DIM) / n_p
-    in_u = np.bincount(cells[~p[row]], minlength=DIM) / n_u
-    ratio = ratios(in_p, in_u, n_p, n_u, prior)
-    live = ratio[cells] != 0
-    cells, row = cells[live], row[live]
+    seen = np.zeros((2, DIM))
+    for part, cells, offsets in feature_slices(texts):
+        positive = np.repeat(p[part], np.diff(offsets))
+        seen += [np.bincount(cells[keep], minlength=DIM) for keep in (positive, ~positive)]
+    ratio = ratios(seen[0] / n_p, seen[1] / n_u, n_p, n_u, prior)
+    # only the cells that weigh something are kept
+    sizes, live_cells, live_rows = np.zeros(len(p), np.int64), [], []
+    for part, cells, offsets in feature_slices(texts):
+        sizes[part] = np.diff(offsets)
+        live = ratio[cells] != 0
+        live_cells.append(cells[live])
+        live_rows.append(np.repeat(np.arange(part.start, part.stop), sizes[part])[live])
+    cells, row = np.concatenate(live_cells), np.concatenate(live_rows)
     w, mean, var, total, kept = np.ones(DIM), np.zeros(DIM), np.zeros(DIM), np.zeros(DIM), 0
     bias, bias_total, scale = np.log(prior / (1 - prior)), 0.0, 1 / np.sqrt(sizes)
     for t in range(1, steps + 1):
@@ -148,23 +154,23 @@ def classifiers(docs: DataFrame, labels: DataFrame, models: int, positives: int,
         group = group.combine_chunks().to_batches()[0] if group.num_rows else None
         schema = pa.schema([("model", pa.int32()), ("weights", pa.binary()), ("bias", pa.float64())])
         role = group.column("role").to_numpy()
-        use = lambda keep: all_features(group.column("text").filter(pa.array(keep)))
+        use = lambda keep: group.column("text").filter(pa.array(keep))
         fitted, held = role != CALIBRATION, role == CALIBRATION
         if not ((role == POSITIVE).any() and (role == UNLABELLED).any()):
             return schema.empty_table()
-        w, bias = train(*use(fitted), role[fitted], prior)
+        w, bias = train(use(fitted), role[fitted], prior)
         a, b = 1.0, 0.0
         y = group.column("toxic").to_numpy(zero_copy_only=False)[held].astype(float)
         if len(set(y)) == 2:
-            cells, sizes = use(held)
-            a, b = calibrate(forward(cells, np.append(0, np.cumsum(sizes)), w) + bias, y, prior)
+            z = np.concatenate([forward(cells, offsets, w) for _, cells, offsets in feature_slices(use(held))])
+            a, b = calibrate(z + bias, y, prior)
         return pa.Table.from_arrays([pa.array([group.column("model")[0].as_py()], pa.int32()), pa.array([(a * w).astype(np.float32).tobytes()], pa.binary()), pa.array([a * bias + b])], schema=schema)
 
     fitted = sample.groupBy("model").applyInArrow(fit, "model int, weights binary, bias double").collect()  # `models` rows of a fixed size
     return [(np.frombuffer(r.weights, np.float32), r.bias) for r in sorted(fitted, key=lambda r: r.model)], prior
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, models: int = 6, positives: int = 2000, unlabelled: int = 5000, calibration: int = 3000, longest: int = 200_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, models: int = 6, positives: int = 2000, unlabelled: int = 4000, calibration: int = 2000, longest: int = 200_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of each row."""
     scorer = score_batches(docs, labels, models, positives, unlabelled, calibration, longest, id_col, text_col)
 
@@ -192,7 +198,7 @@ def score_batches(docs, labels, models, positives, unlabelled, calibration, long
     return scored
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, models: int = 6, positives: int = 2000, unlabelled: int = 5000, calibration: int = 3000, longest: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, models: int = 6, positives: int = 2000, unlabelled: int = 4000, calibration: int = 2000, longest: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns kept, whose text scores less than the threshold."""
     scorer = score_batches(docs, labels, models, positives, unlabelled, calibration, longest, id_col, text_col)
 
