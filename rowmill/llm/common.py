@@ -6,13 +6,17 @@ bounded whatever the batch size; nulls in a text column count as empty texts.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +52,22 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> SparkSession:
     return spark
 
 
+def process_store() -> dict:
+    """A dictionary that lives as long as this Python worker, which Spark reuses for later tasks."""
+    return sys.modules.setdefault("_rowmill_process", types.ModuleType("_rowmill_process")).__dict__
+
+
+def release() -> None:
+    """Frees what tasks of another stage have left in this worker's store."""
+    store, context = process_store(), TaskContext.get()
+    if "kept" in store and context is not None and store.get("stage") != context.stageId():
+        del store["kept"]
+        gc.collect()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """batch in runs of rows whose texts hold about `limit` bytes together; a longer text comes alone."""
+    release()
     n, at = batch.num_rows, 0
     if not n:
         return

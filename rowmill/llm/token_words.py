@@ -11,13 +11,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
-import types
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
+from pyspark import TaskContext
+
+from .common import process_store, release
 
 # letters that a mark follows are a chunk: no tokenizer of these families joins the two
 _WORD, _MARK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
@@ -67,21 +68,18 @@ def library_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     return lambda texts: pieces.encode(texts, num_threads=1)
 
 
-def process_store() -> dict:
-    """A dictionary that lives as long as this Python worker, which Spark reuses for later tasks."""
-    return sys.modules.setdefault("_rowmill_process", types.ModuleType("_rowmill_process")).__dict__
-
-
 def shared_encoder(path: str) -> ChunkEncoder:
-    """This worker's encoder for a tokenizer."""
-    store = process_store()
-    if store.get("encoder_path") != path:
-        store["encoder_path"], store["encoder"] = path, ChunkEncoder(path)
-    return store["encoder"]
+    """This worker's encoder for a tokenizer, kept from task to task of a stage."""
+    release()
+    store, context = process_store(), TaskContext.get()
+    if store.get("kept", (None,))[0] != path:
+        store["kept"] = (path, ChunkEncoder(path))
+    store["stage"] = context.stageId() if context is not None else None
+    return store["kept"][1]
 
 
 class ChunkEncoder:
-    """Ids of texts. Chunks that are met a second time stay in memory, up to `capacity` of them, of at most `longest` characters."""
+    """Ids of texts. Up to `capacity` chunks of at most `longest` characters stay in memory; once half of that is full, only chunks that are met a second time."""
 
     def __init__(self, path: str, capacity: int = 500_000, longest: int = 48):
         self.rule, self.encode = chunk_rule(path), library_encoder(path)
@@ -109,7 +107,7 @@ class ChunkEncoder:
         for c, ids in extra.items():
             if len(self.cache) >= self.capacity:
                 break
-            if self.met[h := hash(c) & 0x3FFFFF] and len(c) <= self.longest:
+            if (self.met[h := hash(c) & 0x3FFFFF] or len(self.cache) < self.capacity // 2) and len(c) <= self.longest:
                 self.cache[c] = ids
             self.met[h] = 1
         for chunks, have, at in zip(cut, parts, holes, strict=True):
