@@ -25,8 +25,13 @@ from pyspark.sql import functions as F
 from .anchors import segments
 from .common import SPACES, flat_bytes, prefix_hash, slices, small_batches, span_hash, word_spans, written
 
-SEGMENTS = "id long, lo long, windows int, lead int, anchor long, segment long"
-FETCHED = SEGMENTS + ", copies long, tokens binary"
+#: place packs where the first window starts, and, in SHAPE_BITS each, how many windows there are and where the anchor is in the first.
+SEGMENTS = "id long, place long, anchor long, segment long"
+FETCHED = "id long, lo long, windows int, lead int, anchor long, segment long, copies long, tokens binary"
+SHAPE_BITS = 12
+SHAPE = (1 << SHAPE_BITS) - 1
+#: A fetched word keeps this much of its hash: it is compared with words of the same group only.
+WORD_BYTES = 6
 PLACES = "id long, lo long, hi long"
 CHUNK = 1 << 20
 
@@ -75,7 +80,8 @@ def segment_rows(docs: DataFrame, kind: Kind) -> DataFrame:
             for b in slices(whole, "text", CHUNK):
                 ids = b.column("id").to_numpy(zero_copy_only=False)
                 for doc, lo, windows, lead, anchor, segment in all_segments(*token_values(b.column("text"), kind.words), kind):
-                    columns = [ids[doc], lo, windows.astype(np.int32), lead.astype(np.int32), anchor.view(np.int64), segment.view(np.int64)]
+                    place = (lo << SHAPE_BITS | windows) << SHAPE_BITS | lead
+                    columns = [ids[doc], place, anchor.view(np.int64), segment.view(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], [x.split()[0] for x in SEGMENTS.split(", ")])
 
     return docs.select("id", "text").mapInArrow(run, SEGMENTS)
@@ -93,8 +99,11 @@ def fetch(joined: DataFrame, kind: Kind) -> DataFrame:
                 out: list[tuple] = []
                 for i, (x, asked) in enumerate(zip(b.column("id").to_pylist(), b.column("asked").to_pylist(), strict=True)):
                     for a in asked:
-                        at = int(offsets[i]) + a["lo"]
-                        out.append((x, a["lo"], a["windows"], a["lead"], a["anchor"], a["segment"], a["copies"], values[at : at + a["windows"] + kind.length - 1].tobytes()))
+                        lo, windows, lead = a["place"] >> 2 * SHAPE_BITS, a["place"] >> SHAPE_BITS & SHAPE, a["place"] & SHAPE
+                        tokens = values[int(offsets[i]) + lo :][: windows + kind.length - 1]
+                        if kind.words:
+                            tokens = tokens.view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+                        out.append((x, lo, windows, lead, a["anchor"], a["segment"], a["copies"], tokens.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
     return joined.select("id", "text", "asked").mapInArrow(run, FETCHED)
@@ -125,9 +134,13 @@ class Group:
 
 def group_of(b: pa.RecordBatch, kind: Kind) -> Group:
     data, offsets = flat_bytes(b.column("tokens"))
-    size = 8 if kind.words else 1
+    size = WORD_BYTES if kind.words else 1
     take = lambda n: b.column(n).to_numpy(zero_copy_only=False)
-    tokens = np.frombuffer(data.tobytes(), np.uint64) if kind.words else data
+    tokens = data
+    if kind.words:
+        tokens = np.zeros((len(data) // WORD_BYTES, 8), np.uint8)
+        tokens[:, :WORD_BYTES] = data.reshape(-1, WORD_BYTES)
+        tokens = tokens.view(np.uint64).ravel()
     return Group(*(take(n) for n in ("id", "lo", "windows", "lead", "anchor", "copies")), tokens, offsets // size)
 
 
@@ -213,25 +226,28 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_places(docs: DataFrame, kind: Kind, compare: Compare) -> DataFrame:
     """docs (id, doc_id, text) with `places`, a list of the (lo, hi) that windows to remove cover, in tokens, or null."""
     small_batches(docs.sparkSession)
+    if kind.length > SHAPE:
+        raise ValueError(f"windows of at most {SHAPE} tokens")
     found = segment_rows(docs, kind)
     # written, so that the join's sides are shuffles that Spark can split where an anchor is hot
     again = written(found.groupBy("anchor").count().filter("count > 1").select(F.col("anchor").alias("again")), "again")
     live = written(found.join(again, F.col("anchor") == F.col("again"), "left_semi"), "segments")
     key = ["anchor", "segment"]
-    distinct = written(live.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "lo", "windows", "lead")).alias("at")), "distinct")
+    distinct = written(live.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "place")).alias("at")), "distinct")
 
-    copied = distinct.filter("copies > 1").select(*key, F.col("at.id").alias("first_id"), F.col("at.lo").alias("first_lo"))
+    copied = distinct.filter("copies > 1").select(*key, F.col("at.id").alias("first_id"), F.col("at.place").alias("first_place"))
     whole = live.join(copied, key)
     if kind.keep_first:
-        whole = whole.filter("id != first_id or lo != first_lo")
-    whole = whole.select("id", "lo", (F.col("lo") + F.col("windows") + kind.length - 1).alias("hi"))
+        whole = whole.filter("id != first_id or place != first_place")
+    lo, windows = F.shiftright("place", 2 * SHAPE_BITS), F.shiftright("place", SHAPE_BITS).bitwiseAND(F.lit(SHAPE))
+    whole = whole.select("id", lo.alias("lo"), (lo + windows + kind.length - 1).alias("hi"))
 
     groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("anchor").alias("mixed"), (F.col("size") > kind.crowd).alias("crowded"))
     chosen = distinct.join(groups, F.col("anchor") == F.col("mixed")).select("at.*", *key, "copies", "crowded")
     texts = docs.select("id", "doc_id", "text")
 
     def fetched(crowded: bool) -> DataFrame:
-        asked = chosen.filter(F.col("crowded") if crowded else ~F.col("crowded")).groupBy(F.col("id").alias("asked_id")).agg(F.collect_list(F.struct("lo", "windows", "lead", *key, "copies")).alias("asked"))
+        asked = chosen.filter(F.col("crowded") if crowded else ~F.col("crowded")).groupBy(F.col("id").alias("asked_id")).agg(F.collect_list(F.struct("place", *key, "copies")).alias("asked"))
         return fetch(texts.join(asked, F.col("id") == F.col("asked_id")), kind)
 
     places = whole.union(compared(fetched(False), kind, compare))
