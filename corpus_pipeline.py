@@ -24,7 +24,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, or nearly, go."""
-    return decontamination.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
+    return decontamination.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"), free_ends=True)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,20 +1,22 @@
-"""Benchmark decontamination: item-sized windows of words within an edit distance of a benchmark item.
+"""Benchmark decontamination: passages within an edit distance of a benchmark item.
 
-A text is contaminated by an item of n words if a window of n of its words is within floor((1 - similarity) * n) word
-edits of it. Words are runs of letters and digits, lower-cased.
+With `free_ends`, as the query and the pipeline call it, a text is contaminated by an item of n words if some run of its
+words, of any length, is within k = floor((1 - similarity) * n) word edits of it; such a run has n - k to n + k words.
+Without, only runs of just n words count. Words are runs of letters and digits, lower-cased.
 
-1. Seeds. An item that is allowed k edits is cut into k + 1 blocks; a window in reach holds one of them unchanged, at
-   most k words from its place. Texts are searched for the blocks' hashes, and each hit names the windows around it. This loses nothing.
+1. Seeds. An item that is allowed k edits is cut into k + 1 blocks; a run in reach holds one of them unchanged, at
+   most k words from its place. Texts are searched for the blocks' hashes, and each hit names the runs around it. This loses nothing.
 2. CGK. Windows and items are embedded by random walks: at each of 3n steps the current word is copied, and a random bit of
    (step, word) decides whether to move on. Sequences with few edits fall into step again, so edit distance becomes
    Hamming distance. `walks` walks with bits of their own are used.
 3. Bit sampling. For each walk, `tables` tables key embeddings by `bits` sampled places. Windows that share a key with their item
    are candidates. With an agreement of a quarter of the places, `walks` * `tables` keys of two places miss about one in 60.
-4. Candidates are verified by exact edit distance.
+   With free ends a hit is a candidate if one of the 2k + 1 windows around it, which texts' ends may cut, shares a key.
+4. Candidates are verified by exact edit distance; with free ends, that of the closest run within k words of the hit's window.
 
 Items are broadcast `block` at a time; each block is searched in all texts. Nothing is shuffled.
 
-Defined results: null and empty texts, and items without words, match nothing; repeated rows give repeated results; null ids
+Defined results: of equally close runs of a text and item the first is given; null and empty texts, and items without words, match nothing; repeated rows give repeated results; null ids
 pass through; other columns are not carried, except by `drop_contaminated`.
 """
 
@@ -76,6 +78,20 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
+def closest_runs(item: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levenshtein distance of the item to the closest run of words of each region (rows), and where the first such run begins."""
+    m, n = regions.shape
+    back, steps = regions[:, ::-1], np.arange(n + 1, dtype=np.int32)
+    row = np.zeros((m, n + 1), np.int32)
+    # from the last word to the first, so that the last row is by the run's beginning
+    for i, word in enumerate(item[::-1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (back != word))
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    return row.min(axis=1), row[:, ::-1].argmin(axis=1)
+
+
 class ItemIndex:
     """Items' words, the blocks that seed windows and the keys of their embeddings."""
 
@@ -110,9 +126,9 @@ class ItemIndex:
         out.__dict__.update(fields)
         return out
 
-    def windows(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Rows (item, start) of the windows, within texts, that seeds name."""
-        prefix, found = prefix_hash(words), []
+    def hits(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Items with the texts and places, maybe beyond the text's ends, where seeds put their first words."""
+        prefix = prefix_hash(words)
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
         for size, (h, item, offset, seen) in self.seeds.items():
             at = np.arange(max(0, len(words) - size + 1))
@@ -123,36 +139,72 @@ class ItemIndex:
             hit = np.repeat(low, times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
             start = np.repeat(at, times) - offset[hit]
             for i in np.unique(item[hit]):
-                own, k = np.repeat(at, times)[item[hit] == i], self.edits[i]
-                s = (start[item[hit] == i][:, None] + np.arange(-k, k + 1)).ravel()
-                d = np.repeat(doc[own], 2 * k + 1)
-                good = (s >= first[d]) & (s + len(self.words[i]) <= first[d + 1])
-                s = np.unique(s[good])
-                found.append(np.stack([np.full(len(s), i), s]))
+                yield int(i), doc[np.repeat(at, times)[item[hit] == i]], start[item[hit] == i]
+
+    def windows(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Rows (item, start) of the windows, within texts, that seeds name."""
+        found = []
+        for i, doc, start in self.hits(words, first):
+            k = self.edits[i]
+            s = (start[:, None] + np.arange(-k, k + 1)).ravel()
+            d = np.repeat(doc, 2 * k + 1)
+            good = (s >= first[d]) & (s + len(self.words[i]) <= first[d + 1])
+            s = np.unique(s[good])
+            found.append(np.stack([np.full(len(s), i), s]))
         rows = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return np.unique(rows, axis=1)
 
-    def matches(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text, item, distance, first word) of the closest window of each text and item in reach."""
+    def near(self, i: int, windows: np.ndarray) -> np.ndarray:
+        """Whether windows (rows) share a key with the item."""
+        out = np.zeros(len(windows), bool)
+        for r in range(self.walks):
+            rest = np.flatnonzero(~out)
+            out[rest] = (lsh_keys(embed(windows[rest], r), r, self.tables, self.bits) == self.keys[i][r]).any(axis=1)
+        return out
+
+    def matches(self, words: np.ndarray, first: np.ndarray, free_ends: bool = False) -> list[tuple[int, int, int, int]]:
+        """(text, item, distance, first word) of the closest window, or run, of each text and item in reach."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, text, distance, start in self.runs(words, first) if free_ends else self.sized(words, first):
+            close = distance <= self.edits[i]
+            for t, d, s in zip(text[close].tolist(), distance[close].tolist(), start[close].tolist(), strict=True):
+                best[t, i] = min(best.get((t, i), (d, s)), (d, s))
+        return [(t, i, d, s) for (t, i), (d, s) in sorted(best.items())]
+
+    def sized(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """An item, and texts, distances and first words of candidate windows of its size."""
         rows = self.windows(words, first)
-        for i in np.unique(rows[0]):
+        for i in np.unique(rows[0]).tolist():
             item, starts = self.words[i], rows[1][rows[0] == i]
             for at in range(0, len(starts), 4096):
                 s = starts[at : at + 4096]
                 window = words[s[:, None] + np.arange(len(item))]
+                near = self.near(i, window)
+                s, window = s[near], window[near]
+                text = np.searchsorted(first, s, "right") - 1
+                yield i, text, edit_distances(np.broadcast_to(item, window.shape), window), s - first[text]
+
+    def runs(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """An item, and texts, distances and first words of the closest runs around candidate hits."""
+        for i, doc, start in self.hits(words, first):
+            item, k = self.words[i], self.edits[i]
+            places = np.unique(np.stack([doc, start]), axis=1)
+            n, room = len(item), max(1, min(4096, (1 << 20) // (len(item) + 2 * k)))
+            for at in range(0, places.shape[1], room):
+                d, s = places[:, at : at + room]
+                place = s[:, None] + np.arange(-k, n + k)
+                inside = (place >= first[d][:, None]) & (place < first[d + 1][:, None])
+                # beyond a text's ends stands a word of no item
+                region = np.where(inside, words[np.clip(place, 0, len(words) - 1)], np.uint64(0))
                 near = np.zeros(len(s), bool)
-                for r in range(self.walks):
+                for o in sorted(range(2 * k + 1), key=lambda o: abs(o - k)):
                     rest = np.flatnonzero(~near)
-                    near[rest] = (lsh_keys(embed(window[rest], r), r, self.tables, self.bits) == self.keys[i][r]).any(axis=1)
-                s, window = s[near], window[near]
-                distance = edit_distances(np.broadcast_to(item, window.shape), window)
-                for d, start in zip(distance.tolist(), s.tolist(), strict=True):
-                    if d <= self.edits[i]:
-                        text = int(np.searchsorted(first, start, "right")) - 1
-                        value = (d, start - int(first[text]))
-                        best[text, int(i)] = min(best.get((text, int(i)), value), value)
-        return [(t, i, d, s) for (t, i), (d, s) in sorted(best.items())]
+                    if not len(rest):
+                        break
+                    near[rest] = self.near(i, region[rest, o : o + n])
+                d, s = d[near], s[near]
+                distance, begin = closest_runs(item, region[near])
+                yield i, d, distance, np.maximum(s - k + begin - first[d], 0)
 
 
 def item_blocks(items: DataFrame, block: int, item_col: str, text_col: str) -> Iterator[tuple[list, pa.Array]]:
@@ -166,8 +218,8 @@ def item_blocks(items: DataFrame, block: int, item_col: str, text_col: str) -> I
     yield [x.id for x in held], pa.array([x.text for x in held], pa.string())
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, walks: int = 8, tables: int = 8, bits: int = 2, block: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each text and item that it holds: the distance and the first word of the closest window."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, walks: int = 8, tables: int = 8, bits: int = 2, block: int = 5000, free_ends: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each text and item that it holds: the distance and the first word of the closest window, or run."""
     spark, out = docs.sparkSession, None
     for ids, column in item_blocks(benchmark, block, "item_id", "text"):
         index = spark.sparkContext.broadcast(vars(ItemIndex(ids, column, similarity, walks, tables, bits)))
@@ -176,7 +228,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
             for whole in batches:
                 for b in slices(whole, "text", 1 << 20):
                     x = ItemIndex.of(index.value)
-                    found, doc = x.matches(*lower_words(b.column("text"))), b.column("doc_id").to_pylist()
+                    found, doc = x.matches(*lower_words(b.column("text")), free_ends), b.column("doc_id").to_pylist()
                     rows = [(doc[t], x.ids[i], d, len(x.words[i]), s) for t, i, d, s in found]
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], [c.split()[0] for c in MATCHES.split(", ")])
@@ -186,7 +238,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, walks: int = 8, tables: int = 8, bits: int = 2, block: int = 5000, text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, walks: int = 8, tables: int = 8, bits: int = 2, block: int = 5000, free_ends: bool = False, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns kept, whose text holds no item."""
     for ids, column in item_blocks(benchmark, block, "item_id", "text"):
         index = docs.sparkSession.sparkContext.broadcast(vars(ItemIndex(ids, column, similarity, walks, tables, bits)))
@@ -195,7 +247,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
             for whole in batches:
                 for b in slices(whole, text_col, 1 << 20):
                     clean = np.ones(b.num_rows, bool)
-                    clean[[t for t, *_ in ItemIndex.of(index.value).matches(*lower_words(b.column(text_col)))]] = False
+                    clean[[t for t, *_ in ItemIndex.of(index.value).matches(*lower_words(b.column(text_col)), free_ends)]] = False
                     yield b.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from rowmill.llm import common, decontamination, toxicity
+from rowmill.llm import common, decontamination, registry, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -159,6 +159,58 @@ def test_contaminated_equals_brute_force(spark):
     assert decontamination.contaminated(frame.filter("false"), bench).count() == 0
 
 
+def closest_run(item, text):
+    """Smallest distance, and its first start, of the item to the runs of n - k to n + k words of a text."""
+    n, k = len(item), int(0.2 * len(item) + 1e-9)
+    padded = np.array([*text, *[-1] * (n + k)])
+    runs = np.lib.stride_tricks.sliding_window_view(padded, n + k)[: len(text)]
+    row = np.tile(np.arange(n + k + 1), (len(runs), 1))
+    for i, x in enumerate(item):
+        new = [row[:, 0] + 1]
+        for j in range(n + k):
+            new.append(np.minimum(np.minimum(row[:, j + 1], new[j]) + 1, row[:, j] + (runs[:, j] != x)))
+        row = np.stack(new, axis=1)
+    sized = [(int(row[s, m]), s) for s in range(len(runs)) for m in range(n - k, n + k + 1) if s + m <= len(text)]
+    return min(sized, default=(n, 0))
+
+
+def test_free_ends_find_runs_of_any_size(spark):
+    rnd = random.Random(5)
+    make = lambda n: [rnd.randrange(3000) for _ in range(n)]
+    items = [(i, make(n)) for i, n in enumerate([1, 4, 5, 9, 14, 20, 38, 38, 59])]
+    w = items[6][1]
+    # a text of one word less than its item, and passages with words left out or put in
+    docs = [w[:9] + w[10:], make(20) + w[:10] + w[14:] + make(20), w[7:], make(9) + w[:31], w[:20] + make(7) + w[20:], w[:15] + make(8) + w[15:], w[8:]]
+    for _ in range(150):
+        w = list(rnd.choice(items)[1])
+        for _ in range(rnd.randrange(int(0.25 * len(w)) + 1)):
+            k = rnd.randrange(len(w))
+            w[k : k + rnd.choice([0, 1, 1])] = make(rnd.choice([0, 1]))
+        docs.append(make(rnd.choice([0, 0, 5, 40])) + w + make(rnd.choice([0, 0, 5, 40])))
+    want = {}
+    for d, t in enumerate(docs):
+        for i, w in items:
+            distance, start = closest_run(w, t)
+            if distance <= int(0.2 * len(w) + 1e-9):
+                want[d, i] = (distance, start)
+    assert all((d, 6) in want for d in range(5)) and (5, 6) not in want and (6, 6) not in want
+    frame = spark.createDataFrame([(d, " ".join(f"w{x}" for x in t)) for d, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(f"W{x}" for x in w)) for i, w in items], "item_id long, text string")
+    found = decontamination.contaminated(frame, bench, free_ends=True).collect()
+    assert {(r.doc_id, r.item_id): (r.distance, r.start) for r in found} == want
+    kept = decontamination.drop_contaminated(frame, bench, free_ends=True).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(range(len(docs))) - {d for d, _ in want})
+
+
+def test_query_and_pipeline_search_free_ends(spark, tmp_path):
+    item = [f"w{i}" for i in range(38)]
+    spark.createDataFrame([(1, " ".join(item[:9] + item[10:])), (2, "another text")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [(r.doc_id, r.item_id, r.distance) for r in registry.queries()["op9_decontamination"](spark, str(tmp_path)).collect()] == [(1, 5, 1)]
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path)).collect()] == [2]
+
+
 # pipeline
 
 
