@@ -28,18 +28,25 @@ def range_count(df: DataFrame, name: str, low: int, high: int) -> DataFrame:
     return df.filter(F.col(name).between(low, high)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def deadlocked(waits: DataFrame, most: int = 1000) -> DataFrame:
-    """txn of every transaction on a cycle of (waiter, holder) edges, or between two: those that are left when, again and again, all that wait for nobody or that nobody waits for are taken away."""
-    spark, now, before = waits.sparkSession, waits.select("waiter", "holder").distinct(), -1
+def _endless(edges: DataFrame) -> DataFrame:
+    """txn of every waiter from which a walk along (waiter, holder) edges need not end.
+
+    Each step drops the edges to those that wait for nobody, and leads the others past every holder with a single edge, so that
+    chains halve. The edges only get fewer, and as long as some walk ends, at least one edge goes; the last step drops none."""
+    now, before = edges.distinct(), -1
+    while (n := (now := now.checkpoint()).count()) not in (0, before):
+        before = n
+        past = now.groupBy(F.col("waiter").alias("holder")).agg(F.count(F.lit(1)).alias("_n"), F.min("holder").alias("_next"))
+        now = now.join(past, "holder").select("waiter", F.when(F.col("_n") == 1, F.col("_next")).otherwise(F.col("holder")).alias("holder")).distinct()
+    return now.select(F.col("waiter").alias("txn")).distinct()
+
+
+def deadlocked(waits: DataFrame) -> DataFrame:
+    """txn of every transaction on a cycle of (waiter, holder) edges, or between two: those from which neither the walk along the edges nor the one against them need end."""
+    spark, edges = waits.sparkSession, waits.select("waiter", "holder")
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    for _ in range(most):
-        n = (now := now.checkpoint()).count()
-        if n in (0, before):
-            return now.select(F.col("waiter").alias("txn")).distinct()
-        before = n
-        now = now.join(now.select(F.col("waiter").alias("holder")).distinct(), "holder", "left_semi")
-        now = now.join(now.select(F.col("holder").alias("waiter")).distinct(), "waiter", "left_semi").select("waiter", "holder")
-    raise RuntimeError(f"no end after {most} steps")
+    against = edges.select(F.col("holder").alias("waiter"), F.col("waiter").alias("holder"))
+    return _endless(edges).join(_endless(against), "txn", "left_semi")

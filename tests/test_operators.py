@@ -178,3 +178,34 @@ def test_deadlocks(spark):
     assert sorted(r.txn for r in V.deadlocked(waits).collect()) == [1, 2, 3, 7, 8]
     assert V.deadlocked(waits.filter("waiter > 3 and waiter < 7")).count() == 0
     assert waits.filter(F.lit(False)).count() == 0
+
+
+def test_deadlocks_of_long_chains(spark):
+    n = 4000
+    chain = spark.range(n).select(F.col("id").alias("waiter"), (F.col("id") + 1).alias("holder"))
+    assert V.deadlocked(chain).count() == 0
+    # a circle at both ends of the chain, and a branch off its middle that ends
+    ends = spark.createDataFrame([(-1, 0), (0, -1), (n, n + 1), (n + 1, n), (n // 2, 9000), (9000, 9001)], "waiter long, holder long")
+    assert sorted(r.txn for r in V.deadlocked(chain.union(ends)).collect()) == list(range(-1, n + 2))
+    assert [r.txn for r in V.deadlocked(chain.union(ends.filter("waiter < 0 or holder < 0"))).orderBy("txn").collect()] == [-1, 0]
+
+
+def test_deadlocks_equal_peeling(spark):
+    import random
+
+    rnd = random.Random(3)
+    for n, m in ((12, 12), (30, 40), (60, 70)):
+        edges = left = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)}
+        while (kept := {(a, b) for a, b in left if any(b == x for x, _ in left) and any(a == y for _, y in left)}) != left:
+            left = kept
+        assert {r.txn for r in V.deadlocked(spark.createDataFrame(list(edges), "waiter int, holder int")).collect()} == {a for a, _ in left}
+
+
+def test_deadlocked_query_reads_all_customers(spark, tmp_path, monkeypatch):
+    from rowmill.plans.queries import QUERIES
+
+    spark.range(3000).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    read, run = [], V.deadlocked
+    monkeypatch.setattr(V, "deadlocked", lambda waits: read.append(waits.count()) or run(waits))
+    found = sorted(r.txn for r in QUERIES["deadlocked"](spark, str(tmp_path)).collect())
+    assert read == [3000] and found == [k for k in range(100) if k % 10 < 3]
