@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import prefix_hash, span_hash
+from .common import digests, gram_hashes, prefix_hash, span_hash
 
 PLACE_BITS = np.uint64(26)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -31,7 +31,7 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(values: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(document, first window, number of windows, anchor's distance from it, hash of the anchor, hash of the segment) of each segment.
+    """(document, first window, number of windows, anchor's distance from it, hash of the anchor, digest of the segment) of each segment.
 
     values: the documents' tokens (bytes or uint64), one document after another at offsets; places are relative to
     the document. A segment holds its windows' tokens: number of windows + length - 1 of them."""
@@ -40,9 +40,9 @@ def segments(values: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tu
     if n < length:
         return empty
     assert n < 1 << int(PLACE_BITS)
-    prefix = prefix_hash(values)
     place = np.arange(n - k + 1)
-    grams = span_hash(prefix, place, place + k)
+    # bytes' anchors are only where windows meet; the windows themselves are compared
+    grams = span_hash(prefix_hash(values), place, place + k) if values.dtype == np.uint8 else gram_hashes(values, k)
     keys = (grams & ~((np.uint64(1) << PLACE_BITS) - np.uint64(1))) | place.astype(np.uint64)
     least = sliding_min(keys, length - k + 1)
     # windows that lie within a document
@@ -58,5 +58,5 @@ def segments(values: np.ndarray, offsets: np.ndarray, length: int, k: int) -> tu
     count = np.diff(np.append(first, len(at)))
     start, anchor = at[first], anchor[first]
     doc = np.searchsorted(offsets, start, "right") - 1
-    whole = span_hash(prefix, start, start + count + length - 1)
+    whole = digests(values, start, start + count + length - 1)
     return doc, start - offsets[doc], count, anchor - start, grams[anchor], whole

@@ -6,16 +6,18 @@ bounded whatever the batch size; nulls in a text column count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names; in tests, where none is named, a local one."""
+    """A new path in the shared folder that the cluster names in spark.checkpoint.dir. Where none is named, a temporary one, on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='rowmill-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = spark.sparkContext.applicationId
+        root = _LOCAL.setdefault(app, f"file://{tempfile.mkdtemp(prefix='rowmill-')}")
     return f"{root.rstrip('/')}/rowmill-{name}-{uuid.uuid4().hex}"
 
 
@@ -45,24 +52,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> SparkSession:
-    """Bounds the bytes of an Arrow batch that goes to Python, for rows that may be large."""
+    """Bounds the bytes of an Arrow batch that goes to Python, for rows that may be large; a session that bounds them lower stays as it is."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("b")) > most:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > most:
         spark.conf.set(name, str(most))
     return spark
 
 
+def unused(names: Iterable[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that are not among the given names, in any case."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def process_store() -> dict:
     """A dictionary that lives as long as this Python worker, which Spark reuses for later tasks."""
     return sys.modules.setdefault("_rowmill_process", types.ModuleType("_rowmill_process")).__dict__
 
 
 def release() -> None:
-    """Frees what tasks of another stage have left in this worker's store."""
+    """Gives back, when this worker has come to another stage, what tasks of earlier ones have left in its store and its heap."""
     store, context = process_store(), TaskContext.get()
-    if "kept" in store and context is not None and store.get("stage") != context.stageId():
-        del store["kept"]
-        gc.collect()
+    if context is None or store.get("stage") == context.stageId():
+        return
+    store.pop("kept", None)
+    store["stage"] = context.stageId()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -135,7 +158,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """H with H[i] the hash sum of values[:i]; values are uint64, or bytes, which a table spreads."""
+    """H with H[i] the hash sum of values[:i]; values are uint64, or bytes, which a table spreads.
+
+    Such sums collide for some long sequences, whatever the base: they choose places to look at, and never decide that sequences are equal."""
     if values.dtype == np.uint8:
         values = _BYTE[values]
     up, _ = _powers(len(values) + 1)
@@ -150,6 +175,47 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+LONG_WORD = 64
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run data[start:end] of at least one byte: eight bytes at a time through a mixing chain, long runs by XXH3."""
+    sizes = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    loads = np.ndarray((len(data) + 1,), np.uint64, padded, 0, (1,))
+    out = mix(sizes.astype(np.uint64) * _GOLD + _BASE)
+    live, at = np.flatnonzero(sizes <= LONG_WORD), 0
+    while len(live):
+        left = np.minimum(sizes[live] - at, 8)
+        out[live] = mix(out[live] ^ (loads[starts[live] + at] & _MASKS[left]))
+        at += 8
+        live = live[sizes[live] > at]
+    if len(long := np.flatnonzero(sizes > LONG_WORD)):
+        out[long] = digests(data, starts[long], ends[long])
+    return out
+
+
+def digests(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH3 of the bytes of each values[start:end]."""
+    raw, size, digest = memoryview(np.ascontiguousarray(values)).cast("B"), values.itemsize, xxhash.xxh3_64_intdigest
+    return np.array([digest(raw[a:b]) for a, b in zip((starts * size).tolist(), (ends * size).tolist(), strict=True)], np.uint64)
+
+
+_FACTORS = seeded("factors", 64) | np.uint64(1)
+
+
+def gram_hashes(values: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n of the values, which are hashes themselves: a sum with a factor of its own for each place, mixed."""
+    m = max(0, len(values) - n + 1)
+    total = np.full(m, np.uint64(n) * _GOLD, np.uint64)
+    for j in range(n):
+        total += values[j : j + m] * _FACTORS[j]
+    return mix(total)
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that no separator (a table of 256 booleans) breaks, within texts; and each text's first word, n + 1 of them."""
     if not len(data):

@@ -47,11 +47,13 @@ def contract(links: DataFrame, rows: int = 1 << 18) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(links: DataFrame, name: str = "components", most: int = 60) -> DataFrame:
-    """node and component (its smallest member) of every node that has a link; links are (a, b) of longs."""
+def components(links: DataFrame, name: str = "components") -> DataFrame:
+    """node and component (its smallest member) of every node that has a link; links are (a, b) of longs.
+
+    The steps end when one changes nothing: after about the logarithm of the longest chain of contracted links."""
     now = written(contract(links.filter("a != b")), name)
     state = None
-    for _ in range(most):
+    while True:
         both = now.union(now.select("b", "a"))
         low = both.groupBy(F.col("a").alias("hub")).agg(F.min("b").alias("least"))
         large = both.join(low, both.a == low.hub).select(F.col("b").alias("a"), "a", F.least("least", "hub").alias("m")).toDF("v", "u", "m").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
@@ -62,4 +64,3 @@ def components(links: DataFrame, name: str = "components", most: int = 60) -> Da
         if seen == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         state = seen
-    raise RuntimeError(f"no end after {most} steps")

@@ -9,9 +9,12 @@ link at all link to the smallest: one aggregation gives all links.
 Heavy sets: in a common order of n-grams, rare ones first, similar sets share one of their first
 n - ceil(percent * n / 100) + 1 n-grams; those prefixes are the inverted lists, and lists of one set fall away at once. Lists are scanned
 with parity bitmaps: the bits in which two bitmaps differ are at most the n-grams in which the sets differ, so pairs beyond
-the limit are out, and none is lost. What is left is joined to coarse groups, whose members' sets are fetched once and
-compared exactly. Lists of more than `block` members, and groups of more than that or of more than 4096 * `block`
-n-grams, are dealt out as pairs of blocks.
+the limit are out, and none is lost. What is left is joined to coarse groups, whose members' sets are fetched and compared exactly.
+
+Lists and groups of more than `block` members, or of more n-grams than fit, are compared in rounds (`star_links`), so that no set
+is copied to all pairs of blocks: first within each block, then the clusters' smallest members, and then, only where a
+list or group is still in several clusters, every member outside the largest one with all others. Members that are connected are never
+compared, so a group of near copies, however large, costs about one comparison a member.
 
 The boundary is the size up to which subsets cost less (`boundary`); sets near it take both ways. How often n-grams
 occur is counted over all documents in a table of fixed size, which only decides the order, never a result.
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, flat_bytes, mix, prefix_hash, seeded, slices, small_batches, span_hash, word_spans, written
+from .common import SPACES, flat_bytes, gram_hashes, mix, seeded, slices, small_batches, unused, word_hashes, word_spans, written
 from .components import components, labels
 from .repeats import identified
 
@@ -60,12 +63,17 @@ def ngram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = flat_bytes(column)
     data = _LOWER[data]
     starts, ends, first = word_spans(data, offsets, SPACES)
-    words = span_hash(prefix_hash(data), starts, ends)
+    words = word_hashes(data, starts, ends)
     counts = np.diff(first)
     grams = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
     doc = np.repeat(np.arange(len(counts)), grams)
     at = np.arange(len(doc)) - np.repeat(np.cumsum(grams) - grams, grams) + first[doc]
-    found = span_hash(prefix_hash(words), at, at + np.minimum(n, counts)[doc])
+    found = np.zeros(len(doc), np.uint64)
+    size = np.minimum(n, counts)[doc]
+    # a text of fewer words is one shorter n-gram
+    for k in np.unique(size).tolist():
+        own = size == k
+        found[own] = gram_hashes(words, k)[at[own]]
     order = np.lexsort((found, doc))
     found, doc = found[order], doc[order]
     keep = np.ones(len(doc), bool)
@@ -172,12 +180,41 @@ def subsets(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("rep", "grams").mapInArrow(run, "subset long, common long, size long, rep long")
 
 
-def blocks(members: DataFrame, member: str, parts: str) -> DataFrame:
-    """members with `pair`: a group of `parts` blocks is dealt to pairs of blocks, so that any two members meet in one."""
+def star_links(rows: DataFrame, totals: DataFrame, grp: str, parts: str, compare, name: str) -> DataFrame:
+    """Links that join what `compare` finds similar among the rows (grp, rep, ...) of each group, whole.
+
+    `parts`: SQL for the number of blocks that a group is dealt to, of its sizes, which `totals` has too, a row for each group. compare(df) links the rows of each (grp, pair), those with
+    unequal `cluster` alone, stars of each connected part. Of groups in several blocks the second round joins the clusters'
+    smallest members; the third copies the members outside each group's largest cluster to all of its blocks, if any are left."""
     n = F.greatest(F.lit(1), F.ceil(F.expr(parts)).cast("int"))
-    own = F.pmod(F.xxhash64(member), n).cast("int")
-    others = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.least(i, own) * n + F.greatest(i, own))
-    return members.withColumn("pair", F.explode(F.when(n > 1, others).otherwise(F.array(F.lit(0)))))
+    rows = rows.withColumn("blocks", n)
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    links = written(compare(rows.withColumn("pair", own).withColumn("cluster", F.col("rep"))), f"{name}-1")
+    if not totals.filter(f"{parts} > 1").limit(1).count():
+        return links
+    split = rows.filter("blocks > 1")
+
+    def clustered(links: DataFrame, step: int) -> DataFrame:
+        found = components(links, f"{name}-clusters-{step}")
+        return split.join(found, F.col("rep") == F.col("node"), "left").withColumn("cluster", F.coalesce("component", "rep")).drop("node", "component")
+
+    now = clustered(links, 1)
+    # one row stands for each cluster in its group
+    roots = now.groupBy(grp, "cluster").agg(F.min("rep").alias("root")).select(F.col(grp).alias("of_grp"), "root")
+    roots = now.join(roots, (F.col(grp) == F.col("of_grp")) & (F.col("rep") == F.col("root"))).drop("of_grp", "root")
+    many = roots.groupBy(F.col(grp).alias("of_grp")).agg(F.count(F.lit(1)).alias("roots"))
+    roots = roots.join(many.filter("roots > 1"), F.col(grp) == F.col("of_grp"))
+    dealt = F.ceil(F.col("blocks") * F.col("roots") / F.col("members")).cast("int")
+    roots = roots.withColumn("pair", F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), dealt)).cast("int")).drop("of_grp", "roots")
+    links = links.union(written(compare(roots), f"{name}-2"))
+
+    now = clustered(links, 2)
+    sizes = now.groupBy(F.col(grp).alias("of_grp"), F.col("cluster").alias("of_cluster")).agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("of_grp").agg(F.max_by("of_cluster", F.struct("n", "of_cluster")).alias("largest"), F.count(F.lit(1)).alias("clusters")).filter("clusters > 1")
+    rest = now.join(largest, F.col(grp) == F.col("of_grp"))
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    rest = rest.withColumn("pair", F.explode(F.when(F.col("cluster") == F.col("largest"), F.array(own)).otherwise(everywhere)))
+    return links.union(written(compare(rest.drop("of_grp", "largest", "clusters")), f"{name}-3"))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int = 1 << 15) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -211,9 +248,9 @@ def scan_lists(entries: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, group in whole_groups(batches, ("token", "pair")):
-            rep, size = (b.column(c).to_numpy() for c in ("rep", "size"))
+            rep, size, cluster = (b.column(c).to_numpy() for c in ("rep", "size", "cluster"))
             maps = np.frombuffer(flat_bytes(b.column("bitmap"))[0].tobytes(), np.uint64).reshape(-1, BITS // 64)
-            nodes, place = np.unique(rep, return_inverse=True)
+            nodes, place = np.unique(cluster, return_inverse=True)
             low, lag, at = np.arange(len(nodes)), 1, np.arange(len(rep))
             waiting: list[np.ndarray] = []
             while len(at := at[at + lag < len(rep)]):
@@ -221,9 +258,7 @@ def scan_lists(entries: DataFrame, percent: int) -> DataFrame:
                 x, y = size[at], size[at + lag]
                 near = at[(100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (low[place[at]] != low[place[at + lag]])]
                 x, y = size[near], size[near + lag]
-                # the union is at most (x + y) * 100 / (100 + percent), and what differs (100 - percent) hundredths of it
-                apart = np.bitwise_count(maps[near] ^ maps[near + lag]).sum(axis=1, dtype=np.int64)
-                near = near[apart * (100 + percent) <= (100 - percent) * (x + y)]
+                near = near[may_link(np.bitwise_count(maps[near] ^ maps[near + lag]).sum(axis=1, dtype=np.int64), x + y, percent)]
                 waiting.append(np.stack([place[near], place[near + lag]]))
                 lag += 1
                 # pairs that are connected already need not be looked at
@@ -235,54 +270,67 @@ def scan_lists(entries: DataFrame, percent: int) -> DataFrame:
             out = np.flatnonzero(low != np.arange(len(nodes)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[out]), pa.array(nodes[low[out]])], ["a", "b"])
 
-    return entries.select("token", "pair", "rep", "size", "bitmap").repartition("token", "pair").sortWithinPartitions("token", "pair", "size").mapInArrow(run, "a long, b long")
+    return entries.select("token", "pair", "rep", "size", "cluster", "bitmap").repartition("token", "pair").sortWithinPartitions("token", "pair", "size").mapInArrow(run, "a long, b long")
+
+
+def may_link(apart: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of `both` n-grams together can link whose parity bitmaps differ in `apart` bits: the union is at most 100 / (100 + percent) of them, and what differs (100 - percent) hundredths of it."""
+    return apart * (100 + percent) <= (100 - percent) * both
+
 
+def group_links(rep: list[int], cluster: list[int], sets: list[np.ndarray], percent: int, chunk: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """(cluster, smallest cluster that it joins) for the clusters of a group of sorted sets that similar sets join.
 
-def group_links(rep: list[int], sets: list[np.ndarray], percent: int, chunk: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """(member, smallest member) of each connected part of a group of sorted sets. Sets that are connected already are not compared; of others, a table of truncated hashes bounds the intersection from above before it is taken."""
+    Sets that are connected already are not compared; of others, parity bitmaps of at least as many bits as the largest set has n-grams
+    bound the difference from below before the sets are merged."""
     order = sorted(range(len(rep)), key=rep.__getitem__)
-    rep, sets = [rep[i] for i in order], [sets[i] for i in order]
-    size, low = np.array([len(x) for x in sets]), np.arange(len(rep))
-    table = np.zeros(1 << 22, np.uint8)
-    for i in range(len(rep) - 1):
+    sets = [sets[i] for i in order]
+    names, low = np.unique(np.array([cluster[i] for i in order], np.int64), return_inverse=True)
+    own = low.copy()
+    size = np.array([len(x) for x in sets])
+    if len(names) < 2:
+        return
+    bits = 1 << max(10, int(size.max()).bit_length())
+    maps = np.zeros((len(sets), bits // 64), np.uint64)
+    for i, x in enumerate(sets):
+        parity = np.bincount((mix(x ^ _SALT[0]) >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1
+        maps[i] = np.packbits(parity).view(np.uint64)
+    for i in range(len(sets) - 1):
         later = np.flatnonzero(low[i + 1 :] != low[i]) + i + 1
         later = later[100 * np.minimum(size[later], size[i]) >= percent * np.maximum(size[later], size[i])]
-        if not len(later):
-            continue
-        table[(sets[i] >> np.uint64(42)).astype(np.int64)] = 1
-        cuts = np.flatnonzero(np.diff(np.cumsum(size[later]) // chunk)) + 1
-        for js in np.split(later, cuts):
-            ends = np.cumsum(size[js])
-            most = np.add.reduceat(table[(np.concatenate([sets[j] for j in js]) >> np.uint64(42)).astype(np.int64)], ends - size[js], dtype=np.int64)
-            for j in js[100 * most >= percent * (size[i] + size[js] - most)]:
+        rows = max(1, chunk // (bits // 8))
+        for at in range(0, len(later), rows):
+            js = later[at : at + rows]
+            for j in js[may_link(np.bitwise_count(maps[js] ^ maps[i]).sum(axis=1, dtype=np.int64), size[js] + size[i], percent)]:
                 if low[i] != low[j]:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    x, y = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
+                    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
                     if 100 * both >= percent * (size[i] + size[j] - both):
                         a, z = sorted((low[i], low[j]))
                         low[low == z] = a
-        table[(sets[i] >> np.uint64(42)).astype(np.int64)] = 0
-    return ((rep[i], rep[x]) for i, x in enumerate(low.tolist()) if i != x)
+    joined = np.unique(np.stack([own, low]), axis=1)
+    yield from ((int(names[a]), int(names[b])) for a, b in joined.T if a != b)
 
 
 def exact_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members (grp, pair, rep, grams) of a group whose sets are similar, a star for each connected part of a group."""
+    """Links (a, b) between clusters of the members (grp, pair, rep, cluster, grams) of a group whose sets are similar, a star for each connected part of a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        rep: list[int] = []
-        sets: list[np.ndarray] = []
+        held: tuple[list, list, list] = ([], [], [])
         now = None
         for b in batches:
-            for key, x, raw in zip(zip(b.column("grp").to_pylist(), b.column("pair").to_pylist(), strict=True), b.column("rep").to_pylist(), b.column("grams"), strict=True):
-                if key != now:
-                    out += group_links(rep, sets, percent)
-                    now, rep, sets = key, [], []
-                rep.append(x)
-                sets.append(np.frombuffer(raw.as_py(), np.uint64))
-        out += group_links(rep, sets, percent)
+            columns = (b.column(c).to_pylist() for c in ("grp", "pair", "rep", "cluster"))
+            for grp, pair, x, c, raw in zip(*columns, b.column("grams"), strict=True):
+                if (grp, pair) != now:
+                    out += group_links(*held, percent)
+                    now, held = (grp, pair), ([], [], [])
+                for to, value in zip(held, (x, c, np.frombuffer(raw.as_py(), np.uint64)), strict=True):
+                    to.append(value)
+        out += group_links(*held, percent)
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-    return members.repartition("grp", "pair").sortWithinPartitions("grp", "pair").mapInArrow(run, "a long, b long")
+    return members.select("grp", "pair", "rep", "cluster", "grams").repartition("grp", "pair").sortWithinPartitions("grp", "pair").mapInArrow(run, "a long, b long")
 
 
 def with_sets(rows: DataFrame, n: int) -> DataFrame:
@@ -301,7 +349,11 @@ def with_sets(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: n-grams of one block of a group: what a task holds at once, 8 bytes each.
+BLOCK_GRAMS = 4 << 20
+
+
+def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles (its set's size) and component_id (the smallest doc_id that links reach) of each row.
 
     Defined results: null, empty and blank texts have no set and link with nothing; a text of fewer than n words is one n-gram;
@@ -312,20 +364,21 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, block: int =
     return named.join(ids, "id").select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns kept, without those that similar sets link to a row with a smaller id.
 
     Of rows with equal ids, or without one, each is a document of its own; all rows without words stay."""
+    row, gone = unused(docs.columns, "row", "gone")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if plain.groupBy("id").count().filter("count > 1 or id is null").limit(1).count():
         # numbers in the order of ids tell such rows apart
         last = F.col(id_col).asc_nulls_last()
-        docs = written(docs.repartitionByRange(last).sortWithinPartitions(last).withColumn("_row", F.monotonically_increasing_id()), "identified")
-        plain = docs.select(F.col("_row").alias("id"), F.col(text_col).alias("text"))
+        docs = written(docs.repartitionByRange(last).sortWithinPartitions(last).withColumn(row, F.monotonically_increasing_id()), "identified")
+        plain = docs.select(F.col(row).alias("id"), F.col(text_col).alias("text"))
     else:
-        docs = docs.withColumn("_row", F.col(id_col).cast("long"))
+        docs = docs.withColumn(row, F.col(id_col).cast("long"))
     rows = group_rows(plain, n, percent, block)
-    return docs.join(rows.filter("top < id").select(F.col("id").alias("_gone")), F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    return docs.join(rows.filter("top < id").select(F.col("id").alias(gone)), F.col(row) == F.col(gone), "left_anti").drop(row)
 
 
 def group_rows(texts: DataFrame, n: int, percent: int, block: int) -> DataFrame:
@@ -342,19 +395,24 @@ def group_rows(texts: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     parts = written(subsets(reps.filter("grams is not null"), percent), "subsets")
     smallest = parts.groupBy("subset", "common").agg(F.min(F.struct("size", "rep")).alias("low"), F.max("rep").alias("high"), F.min("rep").alias("one")).filter("high != one").drop("high", "one")
     linked = parts.join(smallest, ["subset", "common"]).filter(f"rep != low.rep and {percent} * (size + low.size - common) <= 100 * common").select(F.col("rep").alias("a"), F.col("low.rep").alias("b"))
+    linked = written(linked, "light")
 
     entries = written(prefixes(texts, n, percent, least, classes), "prefixes")
     shared = written(entries.groupBy("token").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).filter("x != y").select(F.col("token").alias("live")), "tokens")
     live = written(entries.join(shared, F.col("token") == F.col("live"), "left_semi").distinct(), "entries")
     counts = live.groupBy(F.col("token").alias("counted")).agg(F.count(F.lit(1)).alias("members"))
-    lists = live.join(reps.drop("grams"), "d1").join(counts, F.col("token") == F.col("counted"))
-    near = components(scan_lists(blocks(lists, "rep", f"members / {block}"), percent), "near")
+    lists = live.join(reps.drop("grams"), "d1").join(counts, F.col("token") == F.col("counted")).select("token", "rep", "size", "bitmap", "members")
+    near = components(star_links(lists, counts, "token", f"members / {block << 3}", lambda df: scan_lists(df, percent), "lists"), "near")
 
     sized = near.join(reps.select("rep", "size"), F.col("node") == F.col("rep")).drop("rep")
-    counts = sized.groupBy(F.col("component").alias("counted")).agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("grams"))
-    groups = sized.join(counts, F.col("component") == F.col("counted")).selectExpr("node", "component", f"greatest(members / {block}, grams / {block << 12}) AS parts")
-    members = with_sets(texts.select("id", "text").join(groups, F.col("id") == F.col("node")).select(F.col("id").alias("rep"), F.col("component").alias("grp"), "parts", "text"), n)
-    links = exact_links(blocks(members, "rep", "parts"), percent)
+    counts = sized.groupBy(F.col("component").alias("counted")).agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total"))
+    groups = written(sized.join(counts, F.col("component") == F.col("counted")).select(F.col("node").alias("rep"), F.col("component").alias("grp"), "members", "total"), "groups")
+
+    def compared(df: DataFrame) -> DataFrame:
+        members = texts.select("id", "text").join(df.select("rep", "grp", "pair", "cluster"), F.col("id") == F.col("rep")).select("rep", "grp", "cluster", "pair", "text")
+        return exact_links(with_sets(members, n), percent)
+
+    links = star_links(groups, groups, "grp", f"greatest(members / {block}, total / {BLOCK_GRAMS})", compared, "groups")
     found = components(links.union(linked), "linked")
 
     return sets.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(found, F.col("rep") == F.col("node"), "left").select("id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("top"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import segments
-from .common import SPACES, flat_bytes, prefix_hash, slices, small_batches, span_hash, word_spans, written
+from .common import SPACES, digests, flat_bytes, slices, small_batches, word_hashes, word_spans, written
 
 #: place packs where the first window starts, and, in SHAPE_BITS each, how many windows there are and where the anchor is in the first.
 SEGMENTS = "id long, place long, anchor long, segment long"
@@ -48,18 +48,12 @@ class Kind:
 
 
 def token_values(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes, or 64-bit hashes of words, of all texts and the texts' offsets. Words are hashed a few MB at a time."""
+    """Bytes, or 64-bit hashes of words, of all texts and the texts' offsets."""
     data, offsets = flat_bytes(column)
     if not words:
         return data, offsets
     starts, ends, first = word_spans(data, offsets, SPACES)
-    out, at = [], 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + (CHUNK << 1), "right")))
-        base = starts[at]
-        out.append(span_hash(prefix_hash(data[base : ends[to - 1]]), starts[at:to] - base, ends[at:to] - base))
-        at = to
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), first
+    return word_hashes(data, starts, ends), first
 
 
 def all_segments(values: np.ndarray, offsets: np.ndarray, kind: Kind) -> Iterator[tuple[np.ndarray, ...]]:
@@ -201,13 +195,14 @@ def counted(fetched: DataFrame, kind: Kind) -> DataFrame:
             for b in slices(whole, "tokens", CHUNK):
                 group = group_of(b, kind)
                 seg, number, at = group.starts()
-                window = span_hash(prefix_hash(group.tokens), at, at + kind.length)
+                window = digests(group.tokens, at, at + kind.length)
                 columns = (group.id[seg], group.lo[seg] + number, group.anchor[seg], (group.lead[seg] - number).astype(np.int32), window.view(np.int64), group.copies[seg])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", "lo", "anchor", "lead", "window", "copies"])
 
     rows = fetched.mapInArrow(run, "id long, lo long, anchor long, lead int, window long, copies long")
     same = ["anchor", "lead", "window"]
-    many = rows.groupBy(*same).agg(F.sum("copies").alias("total"), F.min(F.struct("id", "lo")).alias("first")).filter("total > 1")
+    # written, so that the join's sides are shuffles that Spark can split where a window is hot
+    many = written(rows.groupBy(*same).agg(F.sum("copies").alias("total"), F.min(F.struct("id", "lo")).alias("first")).filter("total > 1"), "windows")
     hit = rows.join(many, same)
     hit = hit.filter("struct(id, lo) > first" if kind.keep_first else "true")
     return hit.select("id", "lo", (F.col("lo") + kind.length).alias("hi"))
