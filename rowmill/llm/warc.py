@@ -4,8 +4,13 @@ Writing: each record is a gzip member of its own whose extra field holds the mem
 `sl` subfield), so a reader can step over it. Tasks write files under names of their own, and the commit lists the
 finished ones in a manifest; what lost or repeated tasks left is never read.
 
-Reading: one partition holds one or several whole files, by size. Predicates on the header columns are pushed
-down; a record's headers are inflated first, and a payload is only inflated if the record passes and payloads are asked for.
+Reading: a path is an archive or a folder of them; without a manifest, as other tools leave it, all its `.warc` and `.warc.gz` files count. One
+partition holds one or several whole files, by size. Predicates on the header columns are pushed down; a record's headers are
+read first, and the rest only if the record passes and payloads are asked for: it is stepped over in plain files and in members that carry
+their sizes, and inflated without being kept in other gzip files, whose members may hold one record or many.
+
+All record types are returned. The payload of an HTTP response is what follows its HTTP headers, that of other records their whole
+block, and a revisit has none. Records that this module wrote are checked against their digests. A missing header is null.
 
 Option `payload` (true): whether payloads are returned. Paths are anything that pyarrow's filesystems open.
 """
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from .common import scratch
+from .common import scratch, slices
 
 NAME = "rowmill_warc"
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, payload_digest string, refers_to string, payload_length long, payload binary"
@@ -122,6 +127,102 @@ class Record:
         return self.start + self.read - len(self.inflate.unused_data)
 
 
+class Flow:
+    """An archive's plain bytes, forwards only: those of the file, or of its gzip members one after another."""
+
+    def __init__(self, file, chunk: int = 1 << 16):
+        self.file, self.chunk, self.held = file, chunk, b""
+        file.seek(0)
+        self.packed = file.read(2) == b"\x1f\x8b"
+        file.seek(0)
+        self.inflate, self.raw = zlib.decompressobj(31), b""
+
+    def more(self) -> bytes:
+        """The next bytes; none at the end."""
+        if not self.packed:
+            return self.file.read(self.chunk)
+        while True:
+            if not self.raw and not (raw := self.file.read(self.chunk)):
+                return b""
+            elif not self.raw:
+                self.raw = raw
+            plain = self.inflate.decompress(self.raw)
+            self.raw = self.inflate.unused_data
+            if self.inflate.eof:
+                self.inflate = zlib.decompressobj(31)
+                # what may fill the file's end is no member
+                self.raw = self.raw.lstrip(b"\0")
+            if plain:
+                return plain
+
+    def head(self) -> bytes | None:
+        """The next record's headers, or None."""
+        while (cut := self.held.find(b"\r\n\r\n", 0 if self.held[:1] not in b"\r\n" else len(self.held))) < 0:
+            self.held = self.held.lstrip(b"\r\n")
+            if self.held.find(b"\r\n\r\n") >= 0:
+                continue
+            if not (plain := self.more()):
+                if self.held:
+                    raise ValueError("a WARC record has no end of headers")
+                return None
+            self.held += plain
+        out, self.held = self.held[:cut], self.held[cut + 4 :]
+        return out
+
+    def take(self, n: int, keep: bool = True) -> bytes:
+        """The next n bytes; none of them if they need not be kept."""
+        parts, have = [], 0
+        while have < n:
+            if not self.held:
+                if not keep and not self.packed:
+                    self.file.seek(n - have, 1)
+                    return b""
+                if not (plain := self.more()):
+                    raise ValueError("a WARC record is cut")
+                self.held = plain
+            part, self.held = self.held[: n - have], self.held[n - have :]
+            have += len(part)
+            if keep:
+                parts.append(part)
+        return b"".join(parts)
+
+    def records(self) -> Iterator[tuple[dict[str, str], Block]]:
+        while (raw := self.head()) is not None:
+            head = parse_head(raw)
+            rest = Block(self, int(head.get("content-length", 0)))
+            yield head, rest
+            rest.end()
+
+
+class Block:
+    """What follows a record's headers."""
+
+    def __init__(self, flow: Flow, size: int):
+        self.flow, self.left = flow, size
+
+    def block(self) -> bytes:
+        n, self.left = self.left, 0
+        return self.flow.take(n)
+
+    def end(self) -> None:
+        self.flow.take(self.left, keep=False)
+
+
+def archive_records(file, size: int) -> Iterator[tuple[dict[str, str], Record | Block]]:
+    """The records of an archive: with steps over members if they carry their sizes."""
+    start = file.read(14)
+    sized = len(start) == 14 and start[:2] == b"\x1f\x8b" and start[3] & 4 and start[12:14] == b"sl"
+    return (Stream(file, size) if sized else Flow(file)).records()
+
+
+def payload_of(head: dict[str, str], block: bytes) -> bytes | None:
+    if head.get("warc-type") == "revisit":
+        return None
+    if head.get("warc-type") == "response" and head.get("content-type", "application/http").startswith("application/http"):
+        return block.partition(b"\r\n\r\n")[2]
+    return block
+
+
 @dataclass
 class Files(InputPartition):
     files: list
@@ -132,6 +233,16 @@ class Written(WriterCommitMessage):
     files: list
 
 
+def archives(fs, root: str) -> list[tuple[str, int]]:
+    """Paths and sizes of the archives at a path: the file, those of the manifest, or all that are named like archives."""
+    if fs.get_file_info(root).type == pa.fs.FileType.File:
+        return [(root, fs.get_file_info(root).size)]
+    if fs.get_file_info(f"{root}/_manifest.json").type == pa.fs.FileType.File:
+        with fs.open_input_stream(f"{root}/_manifest.json") as f:
+            return [(f"{root}/{name}", size) for name, size in json.loads(f.read())]
+    return [(x.path, x.size) for x in fs.get_file_info(pa.fs.FileSelector(root, recursive=True)) if x.type == pa.fs.FileType.File and x.path.endswith((".warc", ".warc.gz"))]
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payload = options["path"], options.get("payload", "true").lower() != "false"
@@ -152,8 +263,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         fs, root = pa.fs.FileSystem.from_uri(self.path)
-        with fs.open_input_stream(f"{root}/_manifest.json") as f:
-            files = sorted((tuple(x) for x in json.loads(f.read())), key=lambda x: -x[1])
+        files = sorted(archives(fs, root), key=lambda x: (-x[1], x[0]))
         bins: list[tuple[int, list]] = []
         for name, size in files:
             if bins and bins[-1][0] + size <= self.together:
@@ -170,20 +280,20 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(self.path)
+        fs, _ = pa.fs.FileSystem.from_uri(self.path)
         rows, held = [], 0
         for name, size in partition.files:
-            with fs.open_input_file(f"{root}/{name}") as file:
-                for head, rec in Stream(file, size).records():
+            with fs.open_input_file(name) as file:
+                for head, rec in archive_records(file, size):
                     if not self.passes(head):
                         continue
-                    payload = None
-                    if self.payload and head["warc-type"] == "response":
-                        payload = rec.block().partition(b"\r\n\r\n")[2]
-                        if head["warc-payload-digest"] != f"sha1:{digest32(payload)}":
+                    own, payload = head.get("x-payload-length"), None
+                    if self.payload and head.get("warc-type") != "revisit":
+                        payload = payload_of(head, rec.block())
+                        if own is not None and head["warc-type"] == "response" and head["warc-payload-digest"] != f"sha1:{digest32(payload)}":
                             raise ValueError(f"payload of {head['warc-record-id']} differs from its digest")
                     row = [head.get(h.lower()) for h in HEADERS.values()]
-                    row[-1] = None if row[-1] is None else int(row[-1])
+                    row[-1] = int(own) if own is not None else None if payload is None else len(payload)
                     rows.append((*row, payload))
                     held += len(payload or b"") + 200
                     if held > 4 << 20:
@@ -209,17 +319,15 @@ class WarcWriter(DataSourceArrowWriter):
         fs.create_dir(root)
         files, out, name, size = [], None, "", 0
         try:
-            for batch in iterator:
-                for at in range(batch.num_rows):
-                    row = batch.slice(at, 1).to_pylist()[0]
-                    if out is None:
-                        name, size = f"{uuid.uuid4().hex}.warc.gz", 0
-                        out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                    size += out.write(data := member(self.encode(row))) or len(data)
-                    if size >= self.rotate:
-                        out.close()
-                        files.append((name, size))
-                        out = None
+            for row in (r for batch in iterator for part in slices(batch, "payload") for r in part.to_pylist()):
+                if out is None:
+                    name, size = f"{uuid.uuid4().hex}.warc.gz", 0
+                    out = fs.open_output_stream(f"{root}/{name}", compression=None)
+                size += out.write(data := member(self.encode(row))) or len(data)
+                if size >= self.rotate:
+                    out.close()
+                    files.append((name, size))
+                    out = None
         finally:
             if out is not None:
                 out.close()
