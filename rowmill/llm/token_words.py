@@ -24,6 +24,8 @@ from .common import process_store, release
 _WORD, _MARK = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-&(-/:-@\[-`{-~"
 # a space or line end that one word follows goes with it; longer white space stays with the text before or after it
 _GAP = re.compile(rf"[ \n]?[{_WORD}]++(?=[{_MARK}])|" + r"[ \n]?\S+(?:(?:\s{2,}|[^\S \n])\S*)*|\s+\S*(?:(?:\s{2,}|[^\S \n])\S*)*")
+#: A capital before what may be a mark: these begin at U+0300.
+_COMPOSED = re.compile(r"[A-Z][^\x00-\u02ff]")
 _SPACE = re.compile(rf"[{_WORD}]++(?=[{_MARK}])|[^ \n]+")
 
 
@@ -89,8 +91,9 @@ class ChunkEncoder:
 
     def chunks(self, text: str) -> list[str]:
         if self.rule == "space":
-            # such a tokenizer drops case; special tokens, which it looks for before, do not
-            return _SPACE.findall(text if "<|" in text else text.encode().lower().decode())
+            # such a tokenizer drops case after composing letters with the marks that follow them, so letters before marks
+            # keep theirs; so do special tokens, which it looks for first
+            return _SPACE.findall(text if "<|" in text or not text.isascii() and _COMPOSED.search(text) else text.encode().lower().decode())
         return _GAP.findall(text) if self.rule == "gap" else [text]
 
     def raw(self, texts: Iterable[str]) -> Iterator[bytes]:
