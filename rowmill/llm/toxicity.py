@@ -7,8 +7,9 @@ where the corrected risk of the negatives falls below zero, the step goes back u
 half of the steps, and a logistic curve fitted to labelled rows that it has not seen turns them into probabilities.
 The score is the mean over the classifiers, each trained in a task of its own.
 
-Training takes bounded samples: `positives` and `unlabelled` texts for each classifier and `calibration` labelled rows, of at most
-`longest` characters, chosen by hash over all rows. The prior is counted over all labels that may be learnt from.
+Training takes bounded samples: `positives` and `unlabelled` texts for each classifier and `calibration` labelled rows, in the order of
+a hash of their ids over all documents, each sample up to the row that brings it to `sample_bytes`. The prior is counted over
+all labels of documents that may be learnt from.
 Labels of held-out rows (crc32 of the id, as text, modulo 4 is 2) are never read. Scores use the text alone.
 
 Defined results: null and empty texts score like a text without features; without any positive text to learn from, or any
@@ -22,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, prefix_hash, slices, span_hash
+from .common import flat_bytes, prefix_hash, slices, span_hash, written
 
 DIM_BITS, GRAM = 19, 6
 DIM = 1 << DIM_BITS
@@ -129,26 +130,44 @@ def fold(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4, F.lit(0))
 
 
-def classifiers(docs: DataFrame, labels: DataFrame, models: int, positives: int, unlabelled: int, calibration: int, longest: int, id_col: str, text_col: str) -> tuple[list, float]:
-    """(weights, bias) of each classifier, its curve included, and the class prior."""
-    learn = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("key"), "toxic").filter(fold("key") != 2).groupBy("key").agg(F.max("toxic").alias("toxic"))
-    seen = learn.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
-    prior = (seen.p or 0) / seen.n if seen.n else 0.0
+def samples(docs: DataFrame, labels: DataFrame, models: int, sizes: tuple[int, int, int], sample_bytes: int, id_col: str, text_col: str) -> tuple[DataFrame | None, float]:
+    """(model, role, toxic, text) of the rows that each classifier learns from, and the class prior. Two passes over ids, one over texts."""
+    learn = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("labelled"), F.col("toxic").cast("int").alias("toxic"))
+    learn = learn.filter(fold("labelled") != 2).groupBy("labelled").agg(F.max("toxic").alias("toxic"))
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter("key is not null")
+    ids = rows.groupBy("key").agg(F.max(F.octet_length("text")).alias("bytes"))
+    ids = ids.join(learn, F.col("key") == F.col("labelled"), "left").select("key", "bytes", "toxic", fold("key").alias("fold")).filter("fold != 2")
+    ids = written(ids, "sampled")
+    seen = {r.fold: r for r in ids.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count("toxic").alias("known"), F.sum((F.col("toxic") == 1).cast("int")).alias("p")).collect()}  # three rows
+    known, p = sum(r.known for r in seen.values()), sum(r.p or 0 for r in seen.values())
+    prior = p / known if known else 0.0
     if not 0 < prior < 1:
-        return [], prior
-    rows = docs.filter(F.length(text_col) <= longest).select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.col("key").isNotNull())
-    pick = lambda df, m, role, n: df.orderBy(F.xxhash64("key", F.lit(m * 3 + role)), "key").limit(n).select("key", F.lit(role).alias("role"), F.lit(m).alias("model"), "toxic")
-    ids = rows.select("key", F.lit(None).cast("int").alias("toxic"))
-    known = learn.select("key", F.col("toxic").cast("int").alias("toxic"))
-    chosen = None
+        return None, prior
+    picks = []
     for m in range(models):
         # each learns from two of the folds that may be learnt from, and its curve is fitted to the third
         third = (0, 1, 3)[m % 3]
         own = [f for f in (0, 1, 3) if f != third]
-        for part in (pick(known.filter("toxic = 1").filter(fold("key").isin(own)), m, POSITIVE, positives), pick(ids.filter(fold("key").isin(own)), m, UNLABELLED, unlabelled), pick(known.filter(fold("key") == third), m, CALIBRATION, calibration)):
-            chosen = part if chosen is None else chosen.union(part)
-    # at most models * (positives + unlabelled + calibration) rows
-    sample = rows.join(F.broadcast(chosen.withColumnRenamed("key", "chosen")), F.col("key") == F.col("chosen")).select("model", "role", "toxic", "text")
+        for role, folds, of, count in ((POSITIVE, own, F.col("toxic") == 1, "p"), (UNLABELLED, own, F.lit(True), "n"), (CALIBRATION, [third], F.col("toxic").isNotNull(), "known")):
+            there = sum(getattr(seen[f], count) or 0 for f in folds if f in seen)
+            # the smallest hashes: more than enough lie below the bound
+            bound = (sizes[role] + 6 * sizes[role] ** 0.5 + 30) / max(1, there)
+            place = F.shiftrightunsigned(F.xxhash64("key", F.lit(m * 3 + role)), 11) / 2.0**53
+            picks.append(F.when(of & F.col("fold").isin(folds) & (place < bound), F.struct(F.lit(m).alias("model"), F.lit(role).alias("role"), F.lit(sizes[role]).alias("most"), place.alias("place"))))
+    chosen = ids.select("key", "bytes", "toxic", F.explode(F.filter(F.array(*picks), lambda x: x.isNotNull())).alias("pick")).select("key", "bytes", "toxic", "pick.*")
+    order = Window.partitionBy("model", "role").orderBy("place", "key")
+    chosen = chosen.withColumn("nth", F.row_number().over(order)).withColumn("before", F.sum("bytes").over(order) - F.col("bytes"))
+    chosen = chosen.filter((F.col("nth") <= F.col("most")) & (F.col("before") < sample_bytes)).select(F.col("key").alias("chosen"), "model", "role", "toxic")
+    # at most models * the sum of the sizes rows
+    found = rows.join(F.broadcast(chosen), F.col("key") == F.col("chosen"))
+    return found.groupBy("model", "role", "key", "toxic").agg(F.max("text").alias("text")), prior
+
+
+def classifiers(docs: DataFrame, labels: DataFrame, models: int, positives: int, unlabelled: int, calibration: int, sample_bytes: int, id_col: str, text_col: str) -> tuple[list, float]:
+    """(weights, bias) of each classifier, its curve included, and the class prior."""
+    sample, prior = samples(docs, labels, models, (positives, unlabelled, calibration), sample_bytes, id_col, text_col)
+    if sample is None:
+        return [], prior
 
     def fit(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().to_batches()[0] if group.num_rows else None
@@ -170,9 +189,9 @@ def classifiers(docs: DataFrame, labels: DataFrame, models: int, positives: int,
     return [(np.frombuffer(r.weights, np.float32), r.bias) for r in sorted(fitted, key=lambda r: r.model)], prior
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, models: int = 6, positives: int = 2000, unlabelled: int = 4000, calibration: int = 2000, longest: int = 200_000, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, models: int = 6, positives: int = 2000, unlabelled: int = 4000, calibration: int = 2000, sample_bytes: int = 32 << 20, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted (score >= threshold) of each row."""
-    scorer = score_batches(docs, labels, models, positives, unlabelled, calibration, longest, id_col, text_col)
+    scorer = score_batches(docs, labels, models, positives, unlabelled, calibration, sample_bytes, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, score in scorer(batches, "text"):
@@ -182,9 +201,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, models: int = 6, positiv
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def score_batches(docs, labels, models, positives, unlabelled, calibration, longest, id_col, text_col):
+def score_batches(docs, labels, models, positives, unlabelled, calibration, sample_bytes, id_col, text_col):
     """Trains, and returns a function from batches to parts of them with scores."""
-    fitted, prior = classifiers(docs, labels, models, positives, unlabelled, calibration, longest, id_col, text_col)
+    fitted, prior = classifiers(docs, labels, models, positives, unlabelled, calibration, sample_bytes, id_col, text_col)
     weights = np.stack([w for w, _ in fitted], axis=1) if fitted else None
     bias = np.array([b for _, b in fitted])
     shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -198,9 +217,9 @@ def score_batches(docs, labels, models, positives, unlabelled, calibration, long
     return scored
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, models: int = 6, positives: int = 2000, unlabelled: int = 4000, calibration: int = 2000, longest: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, models: int = 6, positives: int = 2000, unlabelled: int = 4000, calibration: int = 2000, sample_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns kept, whose text scores less than the threshold."""
-    scorer = score_batches(docs, labels, models, positives, unlabelled, calibration, longest, id_col, text_col)
+    scorer = score_batches(docs, labels, models, positives, unlabelled, calibration, sample_bytes, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, score in scorer(batches, text_col):
