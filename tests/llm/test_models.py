@@ -115,6 +115,39 @@ def test_embedding_maps_edits_to_differences():
     assert np.median(near) < 0.4 < 0.6 < np.median(far)
 
 
+def edited(rnd, n, evenly):
+    """An item and a passage with just as many edits as are allowed."""
+    item = [rnd.getrandbits(40) for _ in range(n)]
+    w, k = list(item), n // 5
+    for e in range(k):
+        i, kind = rnd.randrange(len(w)), rnd.random()
+        if evenly:
+            w[min(n - 1, (e + 1) * n // (k + 1))] = rnd.getrandbits(40)
+        elif kind < 0.5:
+            w[i] = rnd.getrandbits(40)
+        elif kind < 0.75 and len(w) > 1:
+            del w[i]
+        else:
+            w.insert(i, rnd.getrandbits(40))
+    return item, w
+
+
+@pytest.mark.parametrize("n", [5, 9, 14, 20, 38, 59])
+@pytest.mark.parametrize("evenly", [False, True])
+def test_keys_alone_find_candidates(n, evenly):
+    rnd = random.Random(n)
+    pairs = [edited(rnd, n, evenly) for _ in range(200)]
+    column = lambda rows: pa.array([" ".join(f"w{x}" for x in w) for w in rows])
+    index = decontamination.ItemIndex(list(range(200)), column([a for a, _ in pairs]), 0.8, 8, 1, 7)
+    words, first = decontamination.lower_words(column([b for _, b in pairs]))
+    found = {(i, d) for i, doc, _ in index.hits(words, first) for d in doc.tolist()}
+    assert sum((i, i) in found for i in range(200)) >= 198
+    # and almost nothing else: walks may go on into the next text, which is found out when a place is verified
+    assert all(0 <= i - d <= 1 for i, d in found)
+    none = decontamination.ItemIndex([0], column([pairs[0][0]]), 0.8, 0, 1, 7)
+    assert none.matches(*decontamination.lower_words(column([pairs[0][0]])), True) == []
+
+
 def test_contaminated_equals_brute_force(spark):
     rnd, vocabulary = random.Random(2), [f"w{i}" for i in range(3000)]
     make = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
