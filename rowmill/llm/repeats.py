@@ -4,12 +4,13 @@
 2. Segments whose anchor occurs once repeat nothing. The others are aggregated to distinct segments.
 3. A segment that occurs twice repeats with all its windows. If an anchor has several distinct segments, their windows
    are compared token by token: one occurrence of each is fetched from its text, and groups of equal anchors are dealt
-   to tasks, which sort them (`compare`). A group of more than `crowd` distinct segments is not gathered: its
-   windows are counted one by one, by hash, over all tasks.
+   to tasks, which sort them (`compare`). A group of more than `crowd` distinct segments is not gathered: its suffixes' prefixes are
+   lengthened to whole windows, and equal ones, which a 64-bit digest stands for, are counted over all tasks.
 4. The places of repeated windows are gathered by text and applied to it.
 
-Texts are shuffled once, by id: both joins read the same exchange. Nothing is broadcast or collected.
-Hot anchors are combined before each shuffle, and the joins on them are ones whose large sides Spark can split.
+Texts are shuffled once, by id: both joins read the same exchange. Nothing is collected, and only the keys of hot segments and windows
+are broadcast, of which there cannot be many (`join_hot`). Hot anchors are combined before each shuffle, and the joins on them
+are ones whose large sides Spark can split.
 """
 
 from __future__ import annotations
@@ -187,6 +188,14 @@ def compared(fetched: DataFrame, kind: Kind, compare: Compare, bucket_bytes: int
     return fetched.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, PLACES)
 
 
+def join_hot(rows: DataFrame, keys: DataFrame, on: list[str], count: str, most: int = 10_000) -> DataFrame:
+    """rows joined to keys, which have how many of the rows each has in `count`. Keys with a `most`th of all such rows or more, which cannot be over `most` of them, are broadcast, so that a hot key's rows are joined where they are."""
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * most >= total
+    first = F.broadcast(keys.filter(hot))
+    return rows.join(first, on).unionByName(rows.join(F.broadcast(keys.filter(hot).select(*on)), on, "left_anti").join(keys.filter(~hot), on))
+
+
 def counted(fetched: DataFrame, kind: Kind) -> DataFrame:
     """Places of repeated windows of crowded groups: a row for each window, equal ones found by aggregation."""
 
@@ -201,9 +210,8 @@ def counted(fetched: DataFrame, kind: Kind) -> DataFrame:
 
     rows = fetched.mapInArrow(run, "id long, lo long, anchor long, lead int, window long, copies long")
     same = ["anchor", "lead", "window"]
-    # written, so that the join's sides are shuffles that Spark can split where a window is hot
-    many = written(rows.groupBy(*same).agg(F.sum("copies").alias("total"), F.min(F.struct("id", "lo")).alias("first")).filter("total > 1"), "windows")
-    hit = rows.join(many, same)
+    many = written(rows.groupBy(*same).agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("id", "lo")).alias("first")).filter("total > 1"), "windows")
+    hit = join_hot(rows, many, same, "rows")
     hit = hit.filter("struct(id, lo) > first" if kind.keep_first else "true")
     return hit.select("id", "lo", (F.col("lo") + kind.length).alias("hi"))
 
@@ -230,14 +238,15 @@ def repeated_places(docs: DataFrame, kind: Kind, compare: Compare) -> DataFrame:
     key = ["anchor", "segment"]
     distinct = written(live.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "place")).alias("at")), "distinct")
 
-    copied = distinct.filter("copies > 1").select(*key, F.col("at.id").alias("first_id"), F.col("at.place").alias("first_place"))
-    whole = live.join(copied, key)
+    copied = distinct.filter("copies > 1").select(*key, "copies", F.col("at.id").alias("first_id"), F.col("at.place").alias("first_place"))
+    whole = join_hot(live, copied, key, "copies")
     if kind.keep_first:
         whole = whole.filter("id != first_id or place != first_place")
     lo, windows = F.shiftright("place", 2 * SHAPE_BITS), F.shiftright("place", SHAPE_BITS).bitwiseAND(F.lit(SHAPE))
     whole = whole.select("id", lo.alias("lo"), (lo + windows + kind.length - 1).alias("hi"))
 
-    groups = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("anchor").alias("mixed"), (F.col("size") > kind.crowd).alias("crowded"))
+    # written, as `again` is
+    groups = written(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.col("anchor").alias("mixed"), (F.col("size") > kind.crowd).alias("crowded")), "mixed")
     chosen = distinct.join(groups, F.col("anchor") == F.col("mixed")).select("at.*", *key, "copies", "crowded")
     texts = docs.select("id", "doc_id", "text")
 
