@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.functions.names import unused
 from rowmill.functions.predicates import OPERATORS, col, is_text
 
 JOINT = "__"
@@ -57,28 +58,32 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
 def in_query(df: DataFrame, name: str, query: DataFrame) -> DataFrame:
     """Rows whose value the query's only column has."""
     key = _only(query)
-    return df.join(query.select(key.alias("_member")), col(df, name) == F.col("_member"), "left_semi")
+    (member,) = unused(df.columns, "member")
+    return df.join(query.select(key.alias(member)), col(df, name) == F.col(member), "left_semi")
 
 
 def not_in_query(df: DataFrame, name: str, query: DataFrame) -> DataFrame:
     """Rows with a value that the query's only column lacks; its nulls are ignored, and rows without a value go."""
     key = _only(query)
-    return df.filter(col(df, name).isNotNull()).join(query.select(key.alias("_member")), col(df, name) == F.col("_member"), "left_anti")
+    (member,) = unused(df.columns, "member")
+    return df.filter(col(df, name).isNotNull()).join(query.select(key.alias(member)), col(df, name) == F.col(member), "left_anti")
 
 
 def compare_query(df: DataFrame, name: str, op: str, query: DataFrame) -> DataFrame:
     """Rows for which name op the query's only value holds; none if it is empty, and an error if it has more than one row."""
     n = F.count(F.lit(1))
-    one = query.select(_only(query).alias("_value")).agg(F.first("_value").alias("_value"), F.when(n > 1, F.raise_error(F.lit("a scalar query has several rows"))).otherwise(F.lit(True)).alias("_one"))
-    if is_text(df, name) != is_text(one, "_value"):
+    value, single = unused(df.columns, "value", "single")
+    one = query.select(_only(query).alias(value)).agg(F.first(value).alias(value), F.when(n > 1, F.raise_error(F.lit("a scalar query has several rows"))).otherwise(F.lit(True)).alias(single))
+    if is_text(df, name) != is_text(one, value):
         return df.filter(F.lit(False))
     # one row by construction
-    return df.join(F.broadcast(one), OPERATORS[op](col(df, name), F.col("_value")) & F.col("_one")).select(*(df[c] for c in df.columns))
+    return df.join(F.broadcast(one), OPERATORS[op](col(df, name), F.col(value)) & F.col(single)).select(*(df[c] for c in df.columns))
 
 
 def unmatched(df: DataFrame, name: str, other: DataFrame, key: str) -> DataFrame:
     """Rows that an outer join would give no partner."""
-    return df.join(other.select(col(other, key).alias("_member")), col(df, name) == F.col("_member"), "left_anti")
+    (member,) = unused(df.columns, "member")
+    return df.join(other.select(col(other, key).alias(member)), col(df, name) == F.col(member), "left_anti")
 
 
 def _only(query: DataFrame):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.functions.names import unused
 from rowmill.functions.predicates import OPERATORS, col, is_text
 
 FUNCTIONS = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}
@@ -62,16 +63,17 @@ def aggregate(df: DataFrame, items: dict[str, tuple], by: str | None = None, hav
         raise ValueError("having needs groups")
     if by is None and any(i[0] == "key" for i in items.values()):
         raise ValueError("there is no key without groups")
+    having_name, key_name, none_name = unused([*df.columns, *items], "having", "key", "none")
     made = {n: F.first(col(df, i[1]), ignorenulls=False) if i[0] == "first" else aggregate_item(df, *i) for n, i in items.items() if i[0] != "key"}
     columns = [c.alias(n) for n, c in made.items()]
     if having:
         function, name, op, value = having
         if name is not None and function in ("min", "max") and isinstance(value, str) != is_text(df, name):
             raise ValueError("having compares a number with a text")
-        columns.append(aggregate_item(df, function, name).alias("_having"))
+        columns.append(aggregate_item(df, function, name).alias(having_name))
     if by is None:
         return df.agg(*columns).select(*items)
-    out = df.groupBy(col(df, by).alias("_key")).agg(*(columns or [F.lit(1).alias("_none")]))
+    out = df.groupBy(col(df, by).alias(key_name)).agg(*(columns or [F.lit(1).alias(none_name)]))
     if having:
-        out = out.filter(OPERATORS[op](F.col("_having"), F.lit(value)))
-    return out.select(*(F.col("_key").alias(n) if i[0] == "key" else F.col(n) for n, i in items.items()))
+        out = out.filter(OPERATORS[op](F.col(having_name), F.lit(value)))
+    return out.select(*(F.col(key_name).alias(n) if i[0] == "key" else F.col(n) for n, i in items.items()))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowmill.functions.names import unused
+from rowmill.sources.shared import shared_folder
+
 
 def visible(rows: DataFrame, transactions: DataFrame, snapshot: int, me: int | None = None, created: str = "xmin", deleted: str = "xmax") -> DataFrame:
     """Rows that were created by a transaction the snapshot sees and not deleted by one it sees.
@@ -12,16 +15,18 @@ def visible(rows: DataFrame, transactions: DataFrame, snapshot: int, me: int | N
     transactions: (txn, status) with status `committed`, `aborted` or `running`. A snapshot sees the committed ones with
     numbers below it, and `me`; deleted is 0 or null for rows that nobody deleted."""
     seen = transactions.filter((F.col("status") == "committed") & (F.col("txn") < snapshot) | (F.col("txn") == F.lit(me))).select("txn").distinct()
-    gone = seen.withColumnRenamed("txn", "_gone")
-    live = rows.join(seen.withColumnRenamed("txn", "_seen"), F.col(created) == F.col("_seen"), "left_semi")
-    return live.join(gone, (F.col(deleted) != 0) & (F.col(deleted) == F.col("_gone")), "left_anti")
+    (number,) = unused(rows.columns, "number")
+    seen = seen.withColumnRenamed("txn", number)
+    live = rows.join(seen, F.col(created) == F.col(number), "left_semi")
+    return live.join(seen, (F.col(deleted) != 0) & (F.col(deleted) == F.col(number)), "left_anti")
 
 
 def newest(entries: DataFrame, *key: str, order: str = "seq", tombstone: str = "tomb") -> DataFrame:
     """The entry with the largest order of each key, unless it is a tombstone. One aggregation, combined before its shuffle."""
     rest = [c for c in entries.columns if c not in key]
-    last = entries.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_last"))
-    return last.select(*key, "_last.*").filter(~F.col(tombstone)).select(*entries.columns)
+    (top,) = unused(entries.columns, "top")
+    last = entries.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias(top))
+    return last.select(*key, f"{top}.*").filter(~F.col(tombstone)).select(*entries.columns)
 
 
 def range_count(df: DataFrame, name: str, low: int, high: int) -> DataFrame:
@@ -45,8 +50,6 @@ def deadlocked(waits: DataFrame) -> DataFrame:
     """txn of every transaction on a cycle of (waiter, holder) edges, or between two: those from which neither the walk along the edges nor the one against them need end."""
     spark, edges = waits.sparkSession, waits.select("waiter", "holder")
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     against = edges.select(F.col("holder").alias("waiter"), F.col("waiter").alias("holder"))
     return _endless(edges).join(_endless(against), "txn", "left_semi")

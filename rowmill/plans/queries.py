@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +13,8 @@ from rowmill.functions import predicates as P
 from rowmill.operators import joins as J
 from rowmill.operators import select as S
 from rowmill.operators import versions as V
-from rowmill.sources.tables import Table
+from rowmill.sources.shared import shared_folder
+from rowmill.sources.tables import Conflict, Table
 from rowmill.streaming import replicas
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,9 +31,8 @@ def query(sql: str):
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path in the shared folder that the cluster names, or, where there is none, a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/rowmill-table-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/rowmill-table-{uuid.uuid4().hex}"
 
 
 # scans, projection, predicates
@@ -354,34 +353,79 @@ def deadlocked(t):
     return V.deadlocked(t("customer").select(k.alias("waiter"), F.when((k < 100) & (k % 10 == 2), k - 2).otherwise(k + 1).alias("holder")))
 
 
+@query("SELECT DISTINCT n FROM (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey) g")
+def distinct_of_groups(t):
+    return S.distinct(S.aggregate(t("orders"), {"o_custkey": ("key",), "n": ("count",)}, by="o_custkey"), "n")
+
+
+@query("SELECT n.n_name, r.r_name, s.s_suppkey FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey JOIN supplier s ON n.n_regionkey = r.r_regionkey")
+def join_on_earlier_tables(t):
+    d = J.chain(("n", t("nation")), ("r", t("region"), "inner", "n.n_regionkey", "r.r_regionkey"), ("s", t("supplier"), "inner", "n.n_regionkey", "r.r_regionkey"))
+    return J.pick(d, n_name="n_name", r_name="r_name", s_suppkey="s_suppkey")
+
+
+@query("""WITH q AS (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT q.doc_id, r.r_name FROM q LEFT JOIN region r ON q.quality = r.r_regionkey""")
+def join_null_keys(t):
+    d = J.chain(("q", _quality(t)), ("r", t("region"), "left", "q.quality", "r.r_regionkey"))
+    return J.pick(d, doc_id="doc_id", r_name="r_name")
+
+
+@query("SELECT COUNT(*) AS n FROM orders WHERE o_custkey = NULL OR (o_custkey <> NULL AND o_orderkey > 0) OR o_orderstatus = 'F'")
+def compared_with_null(t):
+    o = t("orders")
+    rows = o.filter(P.any_of([P.compare(o, "o_custkey", "=", None)], [P.compare(o, "o_custkey", "!=", None), P.compare(o, "o_orderkey", ">", 0)], [P.compare(o, "o_orderstatus", "=", "F")]))
+    return S.aggregate(rows, {"n": ("count",)})
+
+
+@query("SELECT c.c_custkey FROM customer c WHERE c.c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def one_column_subqueries(t):
+    customer, orders = t("customer"), t("orders")
+    try:
+        J.in_query(customer, "c_custkey", orders.select("o_custkey", "o_orderkey"))
+    except ValueError:
+        return S.project(J.not_in_query(customer, "c_custkey", S.project(orders, "o_custkey")), "c_custkey")
+    raise AssertionError("a subquery of two columns was taken")
+
+
 # tables with snapshots
 
 
 def _table(t, keep: str | None = None) -> Table:
-    nation = t("nation") if keep is None else t("nation").filter(keep)
-    schema = T.StructType([T.StructField("n_nationkey", T.IntegerType(), False), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.IntegerType())])
-    table = Table(nation.sparkSession, folder(nation.sparkSession), schema)
-    table.insert(nation.select("n_nationkey", "n_name", "n_regionkey"))
+    orders = t("orders") if keep is None else t("orders").filter(keep)
+    rows = orders.select(F.col("o_orderkey").cast("long"), F.col("o_orderstatus").cast("string"), F.col("o_custkey").cast("long"))
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType(), False), T.StructField("o_orderstatus", T.StringType()), T.StructField("o_custkey", T.LongType())])
+    table = Table(rows.sparkSession, folder(rows.sparkSession), schema)
+    table.insert(rows)
     return table
 
 
-@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'changed' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 2")
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 5 = 1 THEN 'changed' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders WHERE o_custkey % 5 <> 2")
 def dml_update_delete(t):
     table = _table(t)
-    table.update({"n_name": F.lit("changed")}, F.col("n_regionkey") == 1)
-    table.delete(F.col("n_regionkey") == 2)
+    table.update({"o_orderstatus": F.lit("changed")}, F.col("o_custkey") % 5 == 1)
+    table.delete(F.col("o_custkey") % 5 == 2)
     return table.read()
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT o_orderkey, o_orderstatus, o_custkey FROM orders")
 def snapshot_read(t):
     table = _table(t)
     begun = table.begin()
-    table.delete(F.col("n_nationkey") < 10)
+    table.delete(F.col("o_custkey") % 2 == 0)
+    return begun.read()
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_custkey FROM orders")
+def snapshot_read_after_vacuum(t):
+    table = _table(t)
+    begun = table.begin()
+    table.delete(F.col("o_custkey") % 2 == 0)
+    table.vacuum()
     return begun.read()
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT o_orderkey, o_orderstatus, o_custkey FROM orders")
 def rollback(t):
     table = _table(t)
     begun = table.begin()
@@ -390,35 +434,73 @@ def rollback(t):
     return table.read()
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey >= 10 UNION ALL SELECT 100, 'new', 0")
+@query("SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_custkey % 5 <> 0 UNION ALL SELECT -1, 'N', 0")
 def own_changes(t):
     table = _table(t)
     begun = table.begin()
-    begun.delete(F.col("n_nationkey") < 10)
-    begun.insert(table.spark.sql("SELECT 100, 'new', 0"))
+    begun.delete(F.col("o_custkey") % 5 == 0)
+    begun.insert(table.spark.sql("SELECT -1L, 'N', 0L"))
     return begun.read()
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_nationkey % 2 = 1")
+@query("SELECT o_orderkey, 'first' AS o_orderstatus, o_custkey FROM orders")
+def first_updater_wins(t):
+    table = _table(t)
+    first, second, reader = table.begin(), table.begin(), table.begin()
+    first.update({"o_orderstatus": F.lit("first")})
+    second.update({"o_orderstatus": F.lit("second")})
+    first.commit()
+    try:
+        second.commit()
+    except Conflict:
+        # one that only reads has nothing to conflict with
+        reader.commit()
+        return table.read()
+    raise AssertionError("both have committed")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_custkey % 2 = 1")
 def vacuum(t):
     table = _table(t)
-    table.delete(F.col("n_nationkey") % 2 == 0)
+    table.delete(F.col("o_custkey") % 2 == 0)
     table.vacuum()
     return table.read()
 
 
-@query("SELECT COUNT(*) AS rows, MIN(n_nationkey) AS min_n_nationkey, MAX(n_nationkey) AS max_n_nationkey, MIN(n_name) AS min_n_name, MAX(n_name) AS max_n_name, MIN(n_regionkey) AS min_n_regionkey, MAX(n_regionkey) AS max_n_regionkey FROM nation WHERE n_nationkey > 3")
+@query("SELECT COUNT(*) AS rows, MIN(o_orderkey) AS min_o_orderkey, MAX(o_orderkey) AS max_o_orderkey, MIN(o_orderstatus) AS min_o_orderstatus, MAX(o_orderstatus) AS max_o_orderstatus, MIN(o_custkey) AS min_o_custkey, MAX(o_custkey) AS max_o_custkey FROM orders WHERE o_custkey > 3")
 def analyze(t):
-    return _table(t, "n_nationkey > 3").statistics()
+    table = _table(t, "o_custkey > 3")
+    table.analyze()
+    return Table(table.spark, table.path).analyzed()
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey + 10 AS n_regionkey FROM nation WHERE n_nationkey < 20")
+@query("SELECT o_orderkey, o_orderstatus, o_custkey + 10 AS o_custkey FROM orders WHERE o_custkey % 3 <> 0")
 def replica(t):
     source = _table(t)
     copy = Table(source.spark, folder(source.spark), source.schema)
     where = folder(source.spark)
     replicas.follow(source, copy, where).awaitTermination()
-    source.update({"n_regionkey": F.col("n_regionkey") + 10})
-    source.delete(F.col("n_nationkey") >= 20)
+    source.delete(F.col("o_custkey") % 3 == 0)
+    source.update({"o_custkey": F.col("o_custkey") + 10})
     replicas.follow(source, copy, where).awaitTermination()
     return copy.read()
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_custkey % 3 <> 0")
+def replica_of_vacuumed_table(t):
+    source = _table(t)
+    source.delete(F.col("o_custkey") % 3 == 0)
+    source.vacuum()
+    copy = Table(source.spark, folder(source.spark), source.schema)
+    replicas.follow(source, copy, folder(source.spark)).awaitTermination()
+    return copy.read()
+
+
+@query("SELECT 2 AS before, 0 AS after")
+def replica_lag(t):
+    source = _table(t)
+    source.delete(F.col("o_custkey") % 3 == 0)
+    copy = Table(source.spark, folder(source.spark), source.schema)
+    before = replicas.lag(source, copy)
+    replicas.follow(source, copy, folder(source.spark)).awaitTermination()
+    return source.spark.range(1).select(F.lit(before).alias("before"), F.lit(replicas.lag(source, copy)).alias("after"))

@@ -209,3 +209,16 @@ def test_deadlocked_query_reads_all_customers(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(V, "deadlocked", lambda waits: read.append(waits.count()) or run(waits))
     found = sorted(r.txn for r in QUERIES["deadlocked"](spark, str(tmp_path)).collect())
     assert read == [3000] and found == [k for k in range(100) if k % 10 < 3]
+
+
+def test_helper_columns_do_not_clash(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4, 5), (7, 0, 0, 0, 0)], "id int, member int, value int, single int, _member int")
+    ids = spark.createDataFrame([(1,), (None,)], "member int")
+    assert [r.id for r in J.in_query(df, "id", ids).collect()] == [1]
+    assert [r.id for r in J.not_in_query(df, "id", ids).collect()] == [7]
+    assert [r.id for r in J.unmatched(df, "id", ids, "member").collect()] == [7]
+    one = spark.createDataFrame([(5,)], "value int")
+    assert [tuple(r) for r in J.compare_query(df, "id", ">", one).collect()] == [(7, 0, 0, 0, 0)]
+    named = spark.createDataFrame([(1, 2, 3)], "key int, having int, none int")
+    got = S.aggregate(named, {"key": ("key",), "having": ("max", "having"), "none": ("count",)}, by="key", having=("sum", "none", ">", 1)).collect()
+    assert [tuple(r) for r in got] == [(1, 2, 1)]

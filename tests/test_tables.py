@@ -80,6 +80,76 @@ def test_vacuum(spark, table):
     assert values(Table(spark, table.path).read()) == want
 
 
+def test_vacuum_keeps_what_open_transactions_read(table):
+    reader = table.begin()
+    table.delete(F.col("id") > 5)
+    table.vacuum()
+    assert reader.read().count() == 10 and table.read().count() == 5
+    reader.commit()
+    assert table.vacuum() and table.read().count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        table.read(1).count()
+
+
+def test_vacuum_keeps_recent_versions(table):
+    table.delete(F.col("id") > 5)
+    assert table.vacuum(keep_seconds=3600) == [] and table.read(1).count() == 10
+    assert len(table.vacuum()) > 0
+
+
+def test_commits_are_whole(spark, table, tmp_path):
+    # a crash before the commit's file has its name leaves a draft, which is no commit
+    (tmp_path / "t/drafts").mkdir(exist_ok=True)
+    (tmp_path / "t/drafts/left").write_text('{"add": [')
+    begun = table.begin()
+    table.insert(spark.createDataFrame([(11, 0)], "id int, v int"))
+    assert table.version() == 2 and begun.read().count() == 10 and table.read().count() == 11
+    # what another tool has torn is an error, not another version
+    (tmp_path / "t/log/3.json").write_text("")
+    with pytest.raises(ValueError, match="torn"):
+        table.read()
+    assert table.read(1).count() == 10
+    with pytest.raises(Conflict):
+        t = table.begin()
+        t.snapshot = 2
+        t.delete()
+        t.commit()
+    (tmp_path / "t/log/3.json").unlink()
+    (tmp_path / "t/log/1.json").unlink()
+    with pytest.raises(ValueError, match="missing"):
+        table.read()
+
+
+def test_log_checkpoints(table, monkeypatch):
+    from rowmill.sources import tables
+
+    monkeypatch.setattr(tables, "CHECKPOINT", 3)
+    for i in range(1, 8):
+        table.delete(F.col("id") == i)
+    assert sorted(i for i, _ in values(table.read())) == [8, 9, 10]
+    assert [n for n, e in enumerate(table.log()) if "all" in e] == [3, 6]
+    assert sorted(i for i, _ in values(table.read(4))) == [4, 5, 6, 7, 8, 9, 10]
+    assert len(table.vacuum()) == 8 and table.read().count() == 3
+
+
+def test_statistics_are_kept(spark, table):
+    assert table.analyzed() is None
+    table.analyze()
+    table.delete()
+    assert Table(spark, table.path).analyzed().first().rows == 10
+
+
+def test_replica_begins_after_a_vacuum(spark, table, tmp_path):
+    table.delete(F.col("id") > 5)
+    table.vacuum()
+    table.update({"v": F.lit(1)}, F.col("id") == 1)
+    copy = Table(spark, f"file://{tmp_path}/copy", SCHEMA)
+    replicas.follow(table, copy, f"{tmp_path}/check").awaitTermination()
+    assert values(copy.read()) == values(table.read()) and replicas.lag(table, copy) == 0
+    with pytest.raises(ValueError, match="vacuumed"):
+        copy.read(1)
+
+
 def test_table_exists(spark, table):
     with pytest.raises(ValueError):
         Table(spark, table.path, SCHEMA)
