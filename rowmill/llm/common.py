@@ -10,10 +10,9 @@ import ctypes
 import gc
 import hashlib
 import sys
-import tempfile
 import types
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowmill.sources.shared import shared_folder
+
 SLICE_BYTES = 2 << 20
 
 
@@ -29,18 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_LOCAL: dict[str, str] = {}
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names in spark.checkpoint.dir. Where none is named, a temporary one, on a single machine only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        root = _LOCAL.setdefault(app, f"file://{tempfile.mkdtemp(prefix='rowmill-')}")
-    return f"{root.rstrip('/')}/rowmill-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder that the cluster names."""
+    return f"{shared_folder(spark)}/rowmill-{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -59,17 +51,6 @@ def small_batches(spark: SparkSession, most: int = 8 << 20) -> SparkSession:
     return spark
 
 
-def unused(names: Iterable[str], *wanted: str) -> list[str]:
-    """Column names like the wanted ones that are not among the given names, in any case."""
-    taken, out = {n.lower() for n in names}, []
-    for w in wanted:
-        while w.lower() in taken:
-            w += "_"
-        taken.add(w.lower())
-        out.append(w)
-    return out
-
-
 def process_store() -> dict:
     """A dictionary that lives as long as this Python worker, which Spark reuses for later tasks."""
     return sys.modules.setdefault("_rowmill_process", types.ModuleType("_rowmill_process")).__dict__

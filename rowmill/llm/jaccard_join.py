@@ -31,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, flat_bytes, gram_hashes, mix, seeded, slices, small_batches, unused, word_hashes, word_spans, written
+from rowmill.functions.names import unused
+
+from .common import SPACES, flat_bytes, gram_hashes, mix, seeded, slices, small_batches, word_hashes, word_spans, written
 from .components import components, labels
 from .repeats import identified
 
