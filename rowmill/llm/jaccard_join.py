@@ -9,7 +9,8 @@ link at all link to the smallest: one aggregation gives all links.
 Heavy sets: in a common order of n-grams, rare ones first, similar sets share one of their first
 n - ceil(percent * n / 100) + 1 n-grams; those prefixes are the inverted lists, and lists of one set fall away at once. Lists are scanned
 with parity bitmaps: the bits in which two bitmaps differ are at most the n-grams in which the sets differ, so pairs beyond
-the limit are out, and none is lost. What is left is joined to coarse groups, whose members' sets are fetched and compared exactly.
+the limit are out, and none is lost. What is left is joined to coarse groups. Large ones, in which long texts meet that the lists' bitmaps are too
+narrow for, are parted by bitmaps of as many bits as a set has n-grams. Then the groups' sets are fetched and compared exactly.
 
 Lists and groups of more than `block` members, or of more n-grams than fit, are compared in rounds (`star_links`), so that no set
 is copied to all pairs of blocks: first within each block, then the clusters' smallest members, and then, only where a
@@ -280,73 +281,105 @@ def may_link(apart: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
     return apart * (100 + percent) <= (100 - percent) * both
 
 
-def group_links(rep: list[int], cluster: list[int], sets: list[np.ndarray], percent: int, chunk: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """(cluster, smallest cluster that it joins) for the clusters of a group of sorted sets that similar sets join.
+def wide_map(grams: np.ndarray) -> np.ndarray:
+    """A parity bitmap of at least as many bits as there are n-grams, a power of two; half of one is its halves' difference."""
+    bits = 1 << max(10, len(grams).bit_length())
+    bit = (mix(grams ^ _SALT[0]) >> np.uint64(20)).astype(np.int64) & (bits - 1)
+    return np.packbits(np.bincount(bit, minlength=bits).astype(np.uint8) & 1).view(np.uint64)
 
-    Sets that are connected already are not compared; of others, parity bitmaps of at least as many bits as the largest set has n-grams
-    bound the difference from below before the sets are merged."""
-    order = sorted(range(len(rep)), key=rep.__getitem__)
-    sets = [sets[i] for i in order]
-    names, low = np.unique(np.array([cluster[i] for i in order], np.int64), return_inverse=True)
-    own = low.copy()
-    size = np.array([len(x) for x in sets])
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    while len(bitmap) > words:
+        bitmap = bitmap[: len(bitmap) // 2] ^ bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
+def group_links(cluster: list[int], size: list[int], maps: list[np.ndarray], percent: int, similar=None, chunk: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """(cluster, smallest cluster that it joins) for the clusters of a group that links join: pairs whose wide bitmaps allow it and that are similar(i, j), if that is given.
+
+    Members that are connected already are not compared."""
+    names, low = np.unique(np.array(cluster, np.int64), return_inverse=True)
     if len(names) < 2:
         return
-    bits = 1 << max(10, int(size.max()).bit_length())
-    maps = np.zeros((len(sets), bits // 64), np.uint64)
-    for i, x in enumerate(sets):
-        parity = np.bincount((mix(x ^ _SALT[0]) >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1
-        maps[i] = np.packbits(parity).view(np.uint64)
-    for i in range(len(sets) - 1):
-        later = np.flatnonzero(low[i + 1 :] != low[i]) + i + 1
-        later = later[100 * np.minimum(size[later], size[i]) >= percent * np.maximum(size[later], size[i])]
-        rows = max(1, chunk // (bits // 8))
-        for at in range(0, len(later), rows):
-            js = later[at : at + rows]
-            for j in js[may_link(np.bitwise_count(maps[js] ^ maps[i]).sum(axis=1, dtype=np.int64), size[js] + size[i], percent)]:
-                if low[i] != low[j]:
-                    x, y = (sets[i], sets[j]) if size[i] <= size[j] else (sets[j], sets[i])
-                    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
-                    if 100 * both >= percent * (size[i] + size[j] - both):
+    order = np.argsort(size, kind="stable")
+    size, maps, low = np.array(size)[order], [maps[i] for i in order], low[order]
+    own = low.copy()
+    words = np.array([len(m) for m in maps])
+    for level in np.unique(words).tolist():
+        # sets are in the order of size, so what may link to these is at this level or beyond, and not much larger
+        first, last = np.searchsorted(words, level, "left"), np.searchsorted(words, level, "right")
+        end = int(np.searchsorted(size, size[last - 1] * 100 // percent, "right"))
+        flat = np.stack([folded(m, level) for m in maps[first:end]])
+        for i in range(first, last):
+            later = np.flatnonzero(low[i + 1 : end] != low[i]) + i + 1
+            later = later[percent * size[later] <= 100 * size[i]]
+            rows = max(1, chunk // (8 * level))
+            for at in range(0, len(later), rows):
+                js = later[at : at + rows]
+                apart = np.bitwise_count(flat[js - first] ^ flat[i - first]).sum(axis=1, dtype=np.int64)
+                js = js[may_link(apart, size[js] + size[i], percent)]
+                if similar is None:
+                    both = np.unique(np.append(low[js], low[i]))
+                    low[np.isin(low, both)] = both[0]
+                    continue
+                for j in js:
+                    if low[i] != low[j] and similar(order[i], order[j]):
                         a, z = sorted((low[i], low[j]))
                         low[low == z] = a
     joined = np.unique(np.stack([own, low]), axis=1)
     yield from ((int(names[a]), int(names[b])) for a, b in joined.T if a != b)
 
 
-def exact_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between clusters of the members (grp, pair, rep, cluster, grams) of a group whose sets are similar, a star for each connected part of a group."""
+def similar_sets(sets: list[np.ndarray], percent: int):
+    """Whether the sorted sets i and j link."""
+
+    def similar(i: int, j: int) -> bool:
+        x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+        both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
+    return similar
+
+
+def member_links(members: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Links (a, b) between clusters of the members (grp, pair, cluster, size, payload) of a group, a star for each connected part. Payloads are sets, if exact, or their wide bitmaps."""
+
+    def links(cluster: list, size: list, payload: list) -> list[tuple[int, int]]:
+        if not exact:
+            return list(group_links(cluster, size, payload, percent))
+        return list(group_links(cluster, size, [wide_map(x) for x in payload], percent, similar_sets(payload, percent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         held: tuple[list, list, list] = ([], [], [])
         now = None
         for b in batches:
-            columns = (b.column(c).to_pylist() for c in ("grp", "pair", "rep", "cluster"))
-            for grp, pair, x, c, raw in zip(*columns, b.column("grams"), strict=True):
+            columns = (b.column(c).to_pylist() for c in ("grp", "pair", "cluster", "size"))
+            for grp, pair, c, n, raw in zip(*columns, b.column("payload"), strict=True):
                 if (grp, pair) != now:
-                    out += group_links(*held, percent)
+                    out += links(*held)
                     now, held = (grp, pair), ([], [], [])
-                for to, value in zip(held, (x, c, np.frombuffer(raw.as_py(), np.uint64)), strict=True):
+                for to, value in zip(held, (c, n, np.frombuffer(raw.as_py(), np.uint64)), strict=True):
                     to.append(value)
-        out += group_links(*held, percent)
+        out += links(*held)
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-    return members.select("grp", "pair", "rep", "cluster", "grams").repartition("grp", "pair").sortWithinPartitions("grp", "pair").mapInArrow(run, "a long, b long")
+    return members.select("grp", "pair", "cluster", "size", "payload").repartition("grp", "pair").sortWithinPartitions("grp", "pair").mapInArrow(run, "a long, b long")
 
 
-def with_sets(rows: DataFrame, n: int) -> DataFrame:
-    """rows (text, and others) with `grams`, the hashes of the text's set, for the text."""
+def with_sets(rows: DataFrame, n: int, whole: bool) -> DataFrame:
+    """rows (text, and others) with `size` and `payload`, the hashes of the text's set or its wide bitmap, for the text."""
     rest = [f for f in rows.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rest), "grams binary"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rest), "size long, payload binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "text", 1 << 20):
+        for batch in batches:
+            for b in slices(batch, "text", 1 << 20):
                 grams, offsets = ngram_sets(b.column("text"), n)
-                sets = [grams[x:y].tobytes() for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+                sets = [grams[x:y] for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
+                payload = [(x if whole else wide_map(x)).tobytes() for x in sets]
                 names = [f.name for f in rest]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "grams"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.diff(offsets)), pa.array(payload, pa.binary())], [*names, "size", "payload"])
 
     return rows.mapInArrow(run, schema)
 
@@ -406,15 +439,24 @@ def group_rows(texts: DataFrame, n: int, percent: int, block: int) -> DataFrame:
     lists = live.join(reps.drop("grams"), "d1").join(counts, F.col("token") == F.col("counted")).select("token", "rep", "size", "bitmap", "members")
     near = components(star_links(lists, counts, "token", f"members / {block << 3}", lambda df: scan_lists(df, percent), "lists"), "near")
 
-    sized = near.join(reps.select("rep", "size"), F.col("node") == F.col("rep")).drop("rep")
-    counts = sized.groupBy(F.col("component").alias("counted")).agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total"))
-    groups = written(sized.join(counts, F.col("component") == F.col("counted")).select(F.col("node").alias("rep"), F.col("component").alias("grp"), "members", "total"), "groups")
-
-    def compared(df: DataFrame) -> DataFrame:
-        members = texts.select("id", "text").join(df.select("rep", "grp", "pair", "cluster"), F.col("id") == F.col("rep")).select("rep", "grp", "cluster", "pair", "text")
-        return exact_links(with_sets(members, n), percent)
-
-    links = star_links(groups, groups, "grp", f"greatest(members / {block}, total / {BLOCK_GRAMS})", compared, "groups")
+    def grouped(found: DataFrame, name: str) -> DataFrame:
+        """(rep, grp, members, total) of each node; the last two are of its group."""
+        sized = found.join(reps.select("rep", "size"), F.col("node") == F.col("rep")).drop("rep")
+        counts = sized.groupBy(F.col("component").alias("counted")).agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("total"))
+        return written(sized.join(counts, F.col("component") == F.col("counted")).select(F.col("node").alias("rep"), F.col("component").alias("grp"), "members", "total"), name)
+
+    def compared(df: DataFrame, exact: bool) -> DataFrame:
+        members = texts.select("id", "text").join(df.select("rep", "grp", "pair", "cluster"), F.col("id") == F.col("rep")).select("grp", "cluster", "pair", "text")
+        return member_links(with_sets(members, n, exact), percent, exact)
+
+    groups = grouped(near, "groups")
+    parts = f"greatest(members / {block}, total / {BLOCK_GRAMS})"
+    large = groups.filter(f"{parts} > 1")
+    if large.limit(1).count():
+        # bitmaps as wide as the sets are large, a sixty-fourth of them, part such groups before any set is copied
+        fine = star_links(large, large, "grp", f"greatest(members / {block << 3}, total / {BLOCK_GRAMS << 4})", lambda df: compared(df, False), "maps")
+        groups = groups.filter(f"NOT {parts} > 1").unionByName(grouped(components(fine, "fine"), "parted"))
+    links = star_links(groups, groups, "grp", parts, lambda df: compared(df, True), "groups")
     found = components(links.union(linked), "linked")
 
     return sets.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left").join(found, F.col("rep") == F.col("node"), "left").select("id", F.col("size").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("top"))
