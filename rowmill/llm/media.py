@@ -119,12 +119,12 @@ def read_png(media: bytes) -> np.ndarray:
 
 def cosine_hash(samples: np.ndarray) -> bytes:
     """64 bits: which of the 8 x 8 lowest cosine frequencies of the image, shrunk to 32 x 32 by means, lie above their median; the mean itself is left out."""
-    grid = samples.astype(np.float64)
+    grid = samples
     for axis in (0, 1):
         n = grid.shape[axis]
         cuts = np.arange(GRID) * n // GRID
         counts = np.maximum(1, np.diff(np.append(cuts, n)))
-        grid = np.add.reduceat(grid, cuts, axis=axis) / (counts[:, None] if axis == 0 else counts)
+        grid = np.add.reduceat(grid, cuts, axis=axis, dtype=np.float64) / (counts[:, None] if axis == 0 else counts)
     low = np.round(_COSINE @ grid @ _COSINE.T, 6).ravel()
     bits = low > np.median(low[1:])
     bits[0] = False
