@@ -261,3 +261,95 @@ def test_components(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
     assert got == {x: top(x) for a, b in edges if a != b for x in (a, b)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# texts that sums of powers cannot tell apart
+
+
+def thue_morse(order, letters="ab"):
+    """A word and its complement: their hashes by powers of any base are equal modulo 2**64 if they are long enough."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << order)]
+    return "".join(letters[x] for x in bits), "".join(letters[1 - x] for x in bits)
+
+
+@pytest.mark.parametrize("order", [10, 11, 12])
+def test_no_word_stands_for_another(spark, order):
+    a, b = thue_morse(order)
+    x, y = (common.prefix_hash(np.frombuffer(t.encode(), np.uint8))[-1] for t in (a, b))
+    assert x == y
+    column = pa.array([a, b])
+    (x, y), _ = repeats.token_values(column, True)
+    assert x != y
+    if order > 10:
+        return
+    got = jaccard_join.jaccard_groups(frame(spark, [(1, a), (2, b), (3, a + " "), (4, None)]), 3, 90).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 1, 4: 4}
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{rest} {a}"), (2, f"{rest} {b}"), (3, f"{rest} {b} more")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_no_segment_stands_for_another(spark):
+    a, b = thue_morse(11)
+    rows = [(1, a), (2, b), (3, a[:500] + "c" + b[500:])]
+    gone = {i: mask for (i, _), mask in zip(rows, brute_bytes([t.encode() for _, t in rows], 400), strict=True)}
+    for r in suffix_dedup.suffix_dedup(frame(spark, rows)).collect():
+        data = np.frombuffer(dict(rows)[r.doc_id].encode(), np.uint8)
+        assert r.n_removed == gone[r.doc_id].sum()
+        assert r.kept_sha256 == hashlib.sha256(data[~gone[r.doc_id]].tobytes()).hexdigest()
+
+
+def test_word_hashes():
+    rnd = random.Random(3)
+    found = ["".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 90))) for _ in range(4000)] + ["a" * i for i in range(1, 200)]
+    values, _ = repeats.token_values(pa.array([" ".join(found)]), True)
+    assert len(set(values.tolist())) == len(set(found))
+    alone = np.concatenate([repeats.token_values(pa.array([w]), True)[0] for w in found[:300]])
+    assert alone.tolist() == values[:300].tolist()
+
+
+def test_prefixes_split_every_bucket():
+    """A bucket as tasks get it holds many times a subtree's suffixes, and prefixes of several words part them."""
+    import inspect
+
+    bucket = inspect.signature(repeats.compared).parameters["bucket_bytes"].default // repeats.WORD_BYTES
+    assert bucket > 20 * substring_dedup.ROOM
+    rnd = np.random.default_rng(0)
+    tokens = rnd.zipf(1.3, bucket).astype(np.int64) % 5000
+    groups = list(substring_dedup.prefix_groups(tokens, np.arange(bucket - 20), 20, substring_dedup.ROOM))
+    assert len(groups) > 20 and max(shared for _, shared in groups) >= 2
+    assert sorted(np.concatenate([m for m, _ in groups]).tolist()) == list(range(bucket - 20))
+    assert all(len(m) <= substring_dedup.ROOM or shared == 20 for m, shared in groups)
+
+
+def test_wide_bitmaps_lose_no_link():
+    rnd = random.Random(7)
+    sets = []
+    for _ in range(30):
+        base = sorted(rnd.sample(range(1 << 60), rnd.choice([40, 700, 3000])))
+        for _ in range(6):
+            keep = [x for x in base if rnd.random() > rnd.choice([0.02, 0.06, 0.12])] + rnd.sample(range(1 << 60), rnd.choice([0, len(base) // 30]))
+            sets.append(np.array(sorted(keep), np.uint64))
+    rnd.shuffle(sets)
+    for percent in (80, 90):
+        up = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+        names, size, maps = list(range(len(sets))), [len(x) for x in sets], [jaccard_join.wide_map(x) for x in sets]
+        exact = dict(jaccard_join.group_links(names, size, maps, percent, jaccard_join.similar_sets(sets, percent)))
+        # clusters are named by a member; what is compared is which ones are together
+        got = [exact.get(i, i) for i in names]
+        pairs = lambda label: {(i, j) for i in names for j in names if label[i] == label[j]}
+        assert pairs(got) == pairs(up)
+        loose = dict(jaccard_join.group_links(names, size, maps, percent))
+        assert pairs(up) <= pairs([loose.get(i, i) for i in names])
+
+
+def test_kept_columns_may_have_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, 2, 3), (2, "a b c", 4, 5, 6), (2, "x", 7, 8, 9)], "doc_id long, text string, row int, gone int, _row int")
+    kept = jaccard_join.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [(1, "a b c", 1, 2, 3), (2, "x", 7, 8, 9)]

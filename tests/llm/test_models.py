@@ -87,6 +87,42 @@ def test_corrected_risk_needs_no_negatives():
 # decontamination
 
 
+def risk(texts, role, prior, w, bias):
+    """The non-negative risk of a classifier, by its definition."""
+    z = np.concatenate([toxicity.forward(c, o, w) for _, c, o in toxicity.feature_slices(pa.array(texts))]) + bias
+    positive = role == toxicity.POSITIVE
+    as_positive, as_negative = np.logaddexp(0, -z), np.logaddexp(0, z)
+    return prior * as_positive[positive].mean() + max(0, as_negative[~positive].mean() - prior * as_negative[positive].mean())
+
+
+def test_training_lowers_the_risk_of_its_start():
+    rnd = random.Random(4)
+    vocabulary = [f"word{i}" for i in range(300)]
+    make = lambda bad: " ".join([*rnd.choices(vocabulary, k=30), *(rnd.choices(["vile", "nasty"], k=2) if bad else [])])
+    texts = [make(True) for _ in range(100)] + [make(rnd.random() < 0.1) for _ in range(1000)]
+    role = np.array([toxicity.POSITIVE] * 100 + [toxicity.UNLABELLED] * 1000)
+    start = toxicity.train(pa.array(texts), role, 0.1, steps=1, rate=0.0)
+    end = toxicity.train(pa.array(texts), role, 0.1)
+    assert risk(texts, role, 0.1, *end) < 0.8 * risk(texts, role, 0.1, *start)
+
+
+def test_samples_come_from_the_documents_that_there_are(spark):
+    docs = spark.createDataFrame([(i, "x" * (i % 7)) for i in range(400)] + [(5, "again"), (None, "x"), (399, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(5000)], "doc_id long, toxic int")
+    sample, prior = toxicity.samples(docs, labels, 2, (20, 40, 30), 1 << 20, "doc_id", "text")
+    rows = sample.collect()
+    counts = {}
+    for r in rows:
+        counts[r.model, r.role] = counts.get((r.model, r.role), 0) + 1
+        assert 0 <= r.key < 400 and zlib.crc32(str(r.key).encode()) % 4 != 2
+        assert r.role != toxicity.POSITIVE or r.toxic == 1
+    assert counts == {(m, role): n for m in (0, 1) for role, n in ((toxicity.POSITIVE, 20), (toxicity.UNLABELLED, 40), (toxicity.CALIBRATION, 30))}
+    assert 0.15 < prior < 0.25
+    # a bound on bytes ends each sample
+    few = toxicity.samples(docs, labels, 1, (20, 40, 30), 10, "doc_id", "text")[0].collect()
+    assert 0 < len(few) < 30
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
