@@ -45,7 +45,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Models, tokenizers and edit distances are beyond SQL; tests compare the stages with brute force.
+#: Models, tokenizers and edit distances are beyond SQL; tests compare the operators with brute force or by their effects, and the chain by its counts.
 ORACLE_SQL = None
 
 
