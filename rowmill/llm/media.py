@@ -54,34 +54,38 @@ def write_png(payload: bytes, width: int = WIDTH, level: int = 4, chunk: int = 1
     return SIGNATURE + _chunk(b"IHDR", head) + b"".join(_chunk(b"IDAT", packed[i : i + chunk]) for i in range(0, len(packed), chunk)) + _chunk(b"IEND", b"")
 
 
+def _undo_diagonals(kinds: np.ndarray, rows: np.ndarray, step: int) -> np.ndarray:
+    """Undoes all filters along diagonals: a pixel needs those to its left, above and between, which lie on the two diagonals before."""
+    n, pixels = len(rows), rows.shape[1] // step
+    done = np.zeros((n + 1, pixels + 1, step), np.int16)  # the row above and the pixel to the left of the image are zero
+    done[1:, 1:] = rows.reshape(n, pixels, step)
+    for t in range(n + pixels - 1):
+        r = np.arange(max(0, t - pixels + 1), min(n, t + 1))
+        x = t - r
+        left, up, corner = done[r + 1, x], done[r, x + 1], done[r, x]
+        to_left, to_up, to_corner = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        nearest = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        guess = np.choose(kinds[r][:, None], [np.zeros_like(left), left, up, (left + up) // 2, nearest])
+        done[r + 1, x + 1] = (done[r + 1, x + 1] + guess) & 255
+    return done[1:, 1:].reshape(n, pixels * step).astype(np.uint8)
+
+
 def unfilter(lines: np.ndarray, step: int = 1) -> np.ndarray:
-    """Rows of samples from filtered rows, whose first byte names the filter; step is bytes a pixel. Runs of rows of one filter go at once, except for filters that look both left and up."""
+    """Rows of samples from filtered rows, whose first byte names the filter; step is bytes a pixel. Runs of rows of one filter go at once, and diagonals do if a row looks both left and up."""
     kinds, out = lines[:, 0], lines[:, 1:].copy()
     if kinds.max(initial=0) > 4:
         raise ValueError("unknown PNG row filter")
+    if kinds.max(initial=0) > 2:
+        return _undo_diagonals(kinds, out, step)
     starts = np.concatenate([[0], np.flatnonzero(np.diff(kinds)) + 1, [len(kinds)]])
     for a, b in zip(starts[:-1], starts[1:], strict=True):
-        kind = kinds[a]
-        if kind == 1:
+        if kinds[a] == 1:
             for c in range(step):
                 out[a:b, c::step] = np.cumsum(out[a:b, c::step], axis=1, dtype=np.uint8)
-        elif kind == 2:
+        elif kinds[a] == 2:
             if a:
                 out[a] += out[a - 1]
             out[a:b] = np.cumsum(out[a:b], axis=0, dtype=np.uint8)
-        elif kind > 2:
-            for r in range(a, b):
-                row = out[r].astype(int)
-                up = out[r - 1].astype(int) if r else np.zeros_like(row)
-                for x in range(len(row)):
-                    left, corner = (row[x - step], up[x - step]) if x >= step else (0, 0)
-                    if kind == 3:
-                        guess = (left + up[x]) // 2
-                    else:
-                        p = left + up[x] - corner
-                        guess = min((left, up[x], corner), key=lambda v: abs(p - v))
-                    row[x] = (row[x] + guess) & 255
-                out[r] = row
     return out
 
 
