@@ -162,10 +162,10 @@ def not_in_subquery_ref(t):
 
 
 @query("""SELECT p_partkey FROM part p WHERE p_partkey IS NOT NULL AND NOT EXISTS
-(SELECT 1 FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey < 300 AND l.l_partkey = p.p_partkey)""")
+(SELECT 1 FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE o.o_totalprice < 6000 AND l.l_partkey = p.p_partkey)""")
 def not_in_null_set_ref(t):
     d = J.chain(("o", t("orders")), ("l", t("lineitem"), "left", "o_orderkey", "l_orderkey"))
-    return S.project(J.not_in_query(t("part"), "p_partkey", J.pick(d.filter(P.compare(d, "o__o_orderkey", "<", 300)), k="l_partkey")), "p_partkey")
+    return S.project(J.not_in_query(t("part"), "p_partkey", J.pick(d.filter(P.compare(d, "o__o_totalprice", "<", 6000)), k="l_partkey")), "p_partkey")
 
 
 # joins
