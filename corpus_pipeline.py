@@ -45,7 +45,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Models, tokenizers and edit distances are beyond SQL; tests compare the operators with brute force or by their effects, and the chain by its counts.
+#: Models, tokenizers and edit distances are beyond SQL; tests/llm/test_pipeline.py compares each stage with brute force over its own input (toxicity: with
+#: the operator's scores and planted words), and the chain with the stages run one by one.
 ORACLE_SQL = None
 
 
