@@ -384,6 +384,8 @@ def with_sets(rows: DataFrame, n: int, whole: bool) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+#: Rows of four numbers that are broadcast at most.
+BROADCAST_ROWS = 100_000
 #: n-grams of one block of a group: what a task holds at once, 8 bytes each.
 BLOCK_GRAMS = 4 << 20
 
@@ -446,7 +448,10 @@ def group_rows(texts: DataFrame, n: int, percent: int, block: int) -> DataFrame:
         return written(sized.join(counts, F.col("component") == F.col("counted")).select(F.col("node").alias("rep"), F.col("component").alias("grp"), "members", "total"), name)
 
     def compared(df: DataFrame, exact: bool) -> DataFrame:
-        members = texts.select("id", "text").join(df.select("rep", "grp", "pair", "cluster"), F.col("id") == F.col("rep")).select("grp", "cluster", "pair", "text")
+        wanted = written(df.select("rep", "grp", "pair", "cluster"), "wanted")
+        if wanted.count() <= BROADCAST_ROWS:  # few numbers: the texts need no shuffle
+            wanted = F.broadcast(wanted)
+        members = texts.select("id", "text").join(wanted, F.col("id") == F.col("rep")).select("grp", "cluster", "pair", "text")
         return member_links(with_sets(members, n, exact), percent, exact)
 
     groups = grouped(near, "groups")
